@@ -2,70 +2,80 @@
 
 The vocabulary drops white space, and none of its pre-tokens, compositions or special strings spans a
 blank or a line feed, so the ids of a text are those of its words in turn. Each distinct word is
-encoded once by the library and kept in a bounded table; a text is then one join of byte strings.
-Plain words go to the library many at a time, in one string: as every pre-token ends in a
-token with the end-of-word mark, the ids are cut apart at those marks. All other words go one by one.
+encoded once and kept in a bounded table; a text is then one join of byte strings. Words of ASCII and
+Latin letters, digits and marks are lower-cased and cut into pre-tokens here, and each distinct pre-token
+goes to the library's BPE model; all other words go through the whole library.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 KEPT_WORDS = 200_000
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
+# The letter that stands for each byte: itself where it is printable in Latin-1, else the next from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
-class WordEncoder:
-    """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
+class Words(dict):
+    """Ids by word; a word that is asked for first is encoded then."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.kept = kept
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.coded(word)
+        self[word] = ids
+        return ids
+
+    def coded(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable() or PLAIN(word)) or "<|" in word:
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        low, parts = word.lower(), self.parts
+        if low.isalpha():
+            return parts.get(low) or self.part(low)
+        if low[:-1].isalpha():
+            head, tail = low[:-1], low[-1]
+            return (parts.get(head) or self.part(head)) + (parts.get(tail) or self.part(tail))
+        return b"".join([parts.get(p) or self.part(p) for p in PRETOKENS(low)])
+
+    def part(self, part: str) -> bytes:
+        """Ids of a pre-token, by the BPE model over its bytes' letters."""
+        letters = part if part.isascii() else "".join(map(BYTE_LETTERS.__getitem__, part.encode()))
+        ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+
+class WordEncoder:
+    """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
+        self.kept = kept
+        self.words = Words(path)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > self.kept:
-            self.words, self.older = {}, self.words
-        known = self.words
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        fresh = {w for ws in split for w in ws if w not in known}
-        for w in fresh & self.older.keys():
-            known[w] = self.older[w]
-            fresh.discard(w)
-        plain, odd = [], []
-        for w in fresh:
-            (plain if PLAIN(w) and "<|" not in w else odd).append(w)
-        for i in range(0, len(plain), 4000):
-            self._together(plain[i : i + 4000])
-        self._singly(odd)
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def _together(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        marks = np.flatnonzero(self.ends[ids]) + 1
-        counts = np.cumsum([1 if w.isalpha() else len(PRETOKENS(w.lower())) for w in words])
-        if len(marks) != counts[-1]:
-            return self._singly(words)
-        cuts, data = (4 * marks[counts - 1]).tolist(), ids.tobytes()
-        self.words.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-
-    def _singly(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        words = self.words
+        if len(words) > self.kept:  # the last generation stays within reach
+            words.older = dict(words)
+            words.clear()
+        if len(words.parts) > self.kept:
+            words.parts = {}
+        get = words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
