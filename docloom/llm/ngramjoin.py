@@ -4,15 +4,17 @@ Documents with equal n-gram sets form one class; all later work is on classes. T
 global order, rare first (by a fixed-size sketch of counts over all documents, then by hash). Two sets
 that link must share an n-gram of their prefixes, so classes meet in the posting lists of prefix n-grams.
 
-No list is paired out. In each round every list names a pivot, and only the pivot meets the list's other
-classes; then lists whose classes are all connected are done, and pivots leave. When the pairs
-between unconnected classes that are left in lists are fewer than the postings, they are met all at once. So
-each pair that could link is either compared or already connected: the components are exact.
-
-Classes that meet a pivot go, in groups of bounded size, into a trie of their n-gram sets, most shared
-n-grams first. The trie is walked depth first: sets with a common beginning share its partial overlap with
-the pivot, and a subtree is pruned when what remains of its longest set, or of the pivot, can't reach the
-overlap that a link needs.
+No list is paired out. All lists with the same middle class (the one in most lists) form a group, of the
+classes in any of them. A large group's classes are first dealt out at random over blocks of bounded
+size, twice, and each block gives only the links that connect it; so large groups of copies grow together at
+the cost of shipping each set once. Then the group is finished in pairs of blocks, but for pairs within
+its largest component: each two classes of a list are compared once there, unless they are already
+connected. So the components are exact, and no task or table holds more than blocks of a group.
+
+The sets of a block go into a trie, most shared n-grams first. It is walked
+depth first: sets with a common beginning share its partial overlap with the set that is looked up, and
+a set is pruned at its branch when what remains of it, or of the other, can't reach the overlap that
+a link needs.
 
 Edge cases: texts without words are empty and linked with nothing; null texts too. Repeated rows are equal
 sets. A null doc_id stays null and is never a component's id unless the component has no other.
@@ -34,6 +36,7 @@ from .wordhash import U, mix, shingle_sets, word_batches
 COUNTERS = 1 << 20
 PIECE = 1 << 16
 GROUP = 256
+BLOCK_TURNS = 2
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -179,28 +182,76 @@ class Trie:
 LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _meet(num: int, den: int):
-    """Links between a pivot and the classes dealt to one group."""
+class Parts:
+    """Connected parts of the numbers below n, beginning with equal labels."""
+
+    def __init__(self, labels: list[int]) -> None:
+        self.of = list(labels)
+        self.members: dict[int, list[int]] = {}
+        for i, label in enumerate(labels):
+            self.members.setdefault(label, []).append(i)
+
+    def join(self, i: int, j: int) -> bool:
+        few, many = sorted((self.of[i], self.of[j]), key=lambda x: len(self.members[x]))
+        if few == many:
+            return False
+        for m in self.members[few]:
+            self.of[m] = many
+        self.members[many] += self.members.pop(few)
+        return True
+
 
-    def run(key: tuple, pivots: pa.Table, others: pa.Table) -> pa.Table:
-        if not pivots.num_rows or not others.num_rows:
-            return LINKS_ARROW.empty_table()
-        sets = [np.frombuffer(x, np.uint64) for x in others["grams"].to_pylist()]
-        pivot = np.frombuffer(pivots["own"][0].as_py(), np.uint64)
-        linked = Trie(sets).linked(pivot, num, den)
-        b = others["b"].to_numpy()[linked]
-        return pa.Table.from_arrays([pa.array(np.full(len(b), key[0].as_py(), np.int64)), pa.array(b)], schema=LINKS_ARROW)
+def _connect(num: int, den: int, all_pairs: bool):
+    """Links that connect the classes of a block, or of a pair of blocks (own = first, own = second).
+
+    Without ``all_pairs``, classes in the largest part are looked up no more once it has grown.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, own = rows["class"].to_pylist(), rows["own"].to_numpy()
+        parts, links = Parts(rows["label"].to_pylist()), []
+        if len(parts.members) > 1 and own.min() == key[1].as_py() and own.max() == key[2].as_py():
+            sets = [np.frombuffer(x, np.uint64) for x in rows["grams"].to_pylist()]
+            right = np.flatnonzero(own == key[2].as_py()).tolist()
+            trie = Trie([sets[i] for i in right])
+            # those in the middle first
+            for i in sorted(np.flatnonzero(own == key[1].as_py()).tolist(), key=lambda i: (rows["rank"][i].as_py(), ids[i])):
+                if len(parts.members) == 1:
+                    break
+                mine = parts.members[parts.of[i]]
+                if not all_pairs and links and len(mine) == max(map(len, parts.members.values())):
+                    continue
+                if len(mine) >= len(right) and all(parts.of[j] == parts.of[i] for j in right):
+                    continue
+                for j in trie.linked(sets[i], num, den):
+                    if parts.join(i, right[j]):
+                        links.append((ids[i], ids[right[j]]))
+        return pa.Table.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], schema=LINKS_ARROW)
 
     return run
 
 
-def compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) of classes that link. A class with many partners is dealt out in groups of about ``GROUP``."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"))
-    others = dealt.join(sets.withColumnRenamed("class", "b"), "b").select("a", "group", "b", "grams")
-    pivots = degree.join(sets.withColumnRenamed("class", "a"), "a").select(F.col("a").alias("p"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("grams").alias("own"))
-    return pivots.groupBy("p", "part").cogroup(others.groupBy("a", "group")).applyInArrow(_meet(num, den), "a long, b long")
+def connect_blocks(groups: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Links found within random blocks of about ``GROUP`` classes of each of ``groups`` (mid, class, label, rank)."""
+    sizes = groups.groupBy("mid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("blocks")).cast("int")
+    dealt = groups.join(sizes, "mid").select("mid", block.alias("i"), block.alias("j"), block.alias("own"), "class", "label", "rank")
+    return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, False), "a long, b long")
+
+
+def finish(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between classes of different labels of each of ``groups``, from all pairs of its blocks but those of its largest label."""
+    labels = groups.groupBy("mid", "label").agg(F.count("*").alias("c"))
+    tops = labels.groupBy("mid").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")).where("n > top.c")
+    blocks = lambda n: F.ceil(n / GROUP).cast("int")
+    tops = tops.select("mid", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many"))
+    rows = groups.join(tops, "mid")
+    outside, h = F.col("label") != F.col("top"), F.xxhash64("class")
+    own = F.when(outside, F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("many"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(outside, F.col("many")).otherwise(0)))
+    dealt = rows.withColumn("own", own).select("mid", "own", "class", "label", "rank", other.alias("other"))
+    dealt = dealt.select("mid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "label", "rank")
+    return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, True), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -228,6 +279,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     several = postings.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
     lists = kept(postings.join(several, "gram", "left_semi").distinct(), "lists")
     drop(spark, paths[1])
+    # a class that shares much of its prefix is near the middle of its group: such make the best pivots
+    shares = lists.groupBy("class").agg((-F.count("*")).alias("rank"))
+    lists = kept(lists.join(shares, "class").select("gram", "class", "n", "rank"), "lists")
     release(spark)
     members = rows.where("n > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
     wanted = lists.select("class").distinct().join(members, "class").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
@@ -235,48 +289,26 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     sets = kept(texts.mapInArrow(_sets(k), "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
     release(spark)
 
-    lists = lists.withColumn("label", F.col("class"))
-    labels = None
-    turn = 0
-    while True:
-        by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n")).alias("pivot"))
-        heads = by_label.groupBy("gram").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("pivot", "label")).alias("p")).where("lo < hi")
-        heads = kept(heads.select("gram", "size", "same", F.col("p.pivot.class").alias("pivot"), F.col("p.pivot.n").alias("pivot_n"), F.col("p.label").alias("pivot_label")), "heads")
-        work = heads.agg(F.sum("size").alias("postings"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2).alias("pairs")).first()
-        if not work["postings"]:
-            break
-        near = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-        last = work["pairs"] <= work["postings"]
-        open_lists = lists.join(heads.select("gram", F.col("pivot").alias("a"), F.col("pivot_n").alias("m"), F.col("pivot_label")), "gram")
-        if last:
-            here = lists.join(heads.select("gram"), "gram", "left_semi")
-            there = here.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = here.join(there, "gram").where((F.col("class") < F.col("b")) & (F.col("label") != F.col("other")) & near).select(F.col("class").alias("a"), "b").distinct()
+    # groups of classes by the middle class of their lists
+    mids = lists.groupBy("gram").agg(F.min(F.struct("rank", "class")).alias("m")).select("gram", F.col("m.class").alias("mid"))
+    groups = kept(lists.join(mids, "gram").groupBy("mid", "class").agg(F.first("rank").alias("rank")), "groups")
+    large = not groups.groupBy("mid").count().where(F.col("count") > GROUP).isEmpty()
+    labels = groups.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
+    for turn in range(BLOCK_TURNS + 1 if large else 1):
+        labelled = groups.join(labels.withColumnRenamed("node", "class"), "class")
+        if turn < BLOCK_TURNS and large:
+            links = connect_blocks(labelled, sets, turn, num, den)
         else:
-            pairs = open_lists.where((F.col("label") != F.col("pivot_label")) & near).select("a", F.col("class").alias("b")).distinct()
-        links = kept(compare(kept(pairs, "pairs"), sets, num, den), "found")
-        # carry the links over to the labels' level
-        if labels is None:
-            edges = links
-        else:
-            of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-            edges = links.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            links = finish(labelled, sets, num, den)
+        links = kept(links, "found")
+        of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        edges = links.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         merged, made = components(edges)
         paths += made
-        if labels is None:
-            labels = merged
-        else:
-            higher = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            moved = labels.join(higher, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-            labels = kept(moved.unionByName(merged.join(labels, "node", "left_anti")), "labels")
-        if last:
-            break
-        rest = open_lists.where(F.col("class") != F.col("a")).select("gram", "class", "n", "label")
-        lists = kept(rest.join(merged.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("gram", "class", "n", F.coalesce("up", "label").alias("label")), "lists")
-        turn += 1
-
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
+        higher = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        labels = kept(labels.join(higher, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        release(spark)
+
     grouped = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     best = grouped.groupBy("label").agg(F.min("doc_id").alias("least"))
     of_class = kept(grouped.join(best, "label").select("class", F.nullif("least", F.lit(NO_ID)).alias("least")), "components")
