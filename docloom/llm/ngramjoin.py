@@ -5,9 +5,10 @@ global order, rare first (by a fixed-size sketch of counts over all documents, t
 that link must share an n-gram of their prefixes, so classes meet in the posting lists of prefix n-grams.
 
 No list is paired out. All lists with the same middle class (the one in most lists) form a group, of the
-classes in any of them. A large group's classes are first dealt out at random over blocks of bounded
+classes in any of them. Within a group, classes that share too few prefix n-grams with every other are
+dropped; only the rest have their whole sets made. A large group's classes are first dealt out at random over blocks of bounded
 size, twice, and each block gives only the links that connect it; so large groups of copies grow together at
-the cost of shipping each set once. Then the group is finished in pairs of blocks, but for pairs within
+the cost of shipping each set once a turn. Then the group is finished in pairs of blocks, but for pairs within
 its largest component: each two classes of a list are compared once there, unless they are already
 connected. So the components are exact, and no task or table holds more than blocks of a group.
 
@@ -83,6 +84,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.minimum(part, 2**31 - 1).astype("<u4").tobytes()], pa.binary())], names=["piece", "counts"])
 
 
+def prefix(n, num: int, den: int):
+    """How many of a set's n first n-grams every set that links with it must share one of: n - ceil(n * num / den) + 1."""
+    return n + (-num * n // den) + 1
+
+
 POSTINGS_ARROW = pa.schema([("gram", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
 
 
@@ -96,10 +102,10 @@ def _postings(k: int, sketch, num: int, den: int):
                 grams, classes, sizes = [], [], []
                 for s in shingle_sets(words, at, k):
                     if n := len(s):
-                        first = n + (-num * n // den) + 1  # n - ceil(n * num / den) + 1
+                        first = prefix(n, num, den)
                         if first < n:
-                            rank = counts[(s & U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-                            order = np.argpartition(rank << U(32) | s >> U(32), first - 1)[:first]
+                            rank = np.minimum(counts[(s & U(COUNTERS - 1)).astype(np.int64)], U(2**20 - 1)).astype(np.uint64)
+                            order = np.argpartition(rank << U(44) | s >> U(20), first - 1)[:first]
                             grams.append(s[order])
                         else:
                             grams.append(s)
@@ -122,7 +128,7 @@ def _sets(k: int):
     return run
 
 
-def needed(n: int, m: int, num: int, den: int) -> int:
+def needed(n, m, num: int, den: int):
     """The least overlap o of sets of sizes n and m with den * o >= num * (n + m - o)."""
     return -(-num * (n + m) // (num + den))
 
@@ -231,6 +237,44 @@ def _connect(num: int, den: int, all_pairs: bool):
     return run
 
 
+def _could_link(num: int, den: int):
+    """Classes of a pair of blocks that may link with another, by how many prefix n-grams two of them share.
+
+    Of two sets that link, take the one whose prefix ends first in the global order: all that its prefix shares with
+    the other set is in the other's prefix, and at most n - overlap of its n-grams are not shared.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, n, own = rows["class"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["own"].to_numpy()
+        grams = [x.values.to_numpy() for x in rows["grams"]]
+        _, place = np.unique(np.concatenate(grams), return_inverse=True)
+        held = np.zeros((len(ids), int(place.max()) + 1), np.float32)
+        held[np.repeat(np.arange(len(ids)), [len(g) for g in grams]), place] = 1
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        if not len(left) or not len(right):
+            return rows.select(["mid", "class", "rank"]).slice(0, 0)
+        shared = held[left] @ held[right].T
+        a, b = n[left][:, None], n[right][None]
+        least = needed(a, b, num, den) + np.minimum(np.minimum(prefix(a, num, den), a) - a, np.minimum(prefix(b, num, den), b) - b)
+        good = (shared >= np.maximum(least, 1)) & (a * den >= b * num) & (b * den >= a * num) & (ids[left][:, None] != ids[right][None])
+        kept = np.union1d(left[good.any(axis=1)], right[good.any(axis=0)])
+        return rows.select(["mid", "class", "rank"]).take(pa.array(kept))
+
+    return run
+
+
+def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(mid, class, rank): groups by lists' middle class, less the classes that can't link within theirs."""
+    short = lists.groupBy("class").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.collect_list("gram").alias("grams"))
+    mids = lists.groupBy("gram").agg(F.min(F.struct("rank", "class")).alias("m")).select("gram", F.col("m.class").alias("mid"))
+    groups = lists.select("gram", "class").join(mids, "gram").select("mid", "class").distinct()
+    blocks = groups.groupBy("mid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    dealt = groups.join(blocks, "mid").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("mid", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("mid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class").join(short, "class")
+    return dealt.groupBy("mid", "i", "j").applyInArrow(_could_link(num, den), "mid long, class long, rank long").distinct()
+
+
 def connect_blocks(groups: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Links found within random blocks of about ``GROUP`` classes of each of ``groups`` (mid, class, label, rank)."""
     sizes = groups.groupBy("mid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("blocks > 1")
@@ -283,15 +327,12 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     shares = lists.groupBy("class").agg((-F.count("*")).alias("rank"))
     lists = kept(lists.join(shares, "class").select("gram", "class", "n", "rank"), "lists")
     release(spark)
+    groups = kept(candidates(lists, num, den), "groups")
     members = rows.where("n > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
-    wanted = lists.select("class").distinct().join(members, "class").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
+    wanted = groups.select("class").distinct().join(members, "class").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
     sets = kept(texts.mapInArrow(_sets(k), "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
     release(spark)
-
-    # groups of classes by the middle class of their lists
-    mids = lists.groupBy("gram").agg(F.min(F.struct("rank", "class")).alias("m")).select("gram", F.col("m.class").alias("mid"))
-    groups = kept(lists.join(mids, "gram").groupBy("mid", "class").agg(F.first("rank").alias("rank")), "groups")
     large = not groups.groupBy("mid").count().where(F.col("count") > GROUP).isEmpty()
     labels = groups.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
     for turn in range(BLOCK_TURNS + 1 if large else 1):
