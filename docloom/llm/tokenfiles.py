@@ -29,10 +29,11 @@ from .wordids import encoder
 
 MAGIC = b"TOKRANK1"
 BLOCK_IDS = 2_000_000
+COUNTS = -1  # the block that holds a task's counts by id
 NO_ID = np.iinfo(np.int64).min
 
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.int64)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -42,7 +43,8 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     four[: len(ranks)] = size
     control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]]
+    width = int(size.max()) + 1 if len(size) else 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -53,8 +55,9 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     padded = data + b"\0\0\0"
-    windows = np.ndarray((len(data),), dtype="<u4", buffer=padded, strides=(1,))
-    return windows[starts] & MASKS[lengths]
+    width = "<u2" if lengths.max() <= 2 else "<u4"
+    windows = np.ndarray((len(data),), dtype=width, buffer=padded, strides=(1,))
+    return (windows[starts] & MASKS.astype(width)[lengths]).astype(np.uint32)
 
 
 def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -85,8 +88,13 @@ def _tokenise(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part, block, docs, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        total = np.zeros(1, np.int64)
 
         def flush() -> pa.RecordBatch:
+            nonlocal total
+            more = np.bincount(np.frombuffer(b"".join(parts), "<u4"), minlength=len(total))
+            more[: len(total)] += total
+            total = more
             lengths = np.array([len(x) // 4 for x in parts], "<u4")
             return batch(BLOCKS_ARROW, part=[part], block=[block], doc_ids=[np.array(docs, "<i8").tobytes()], lengths=[lengths.tobytes()], ids=[b"".join(parts)])
 
@@ -102,19 +110,16 @@ def _tokenise(tokenizer: str, end_id: int):
                         block, docs, parts, size = block + 1, [], [], 0
         if docs:
             yield flush()
+        seen = np.flatnonzero(total)
+        yield batch(BLOCKS_ARROW, part=[part], block=[COUNTS], doc_ids=[seen.astype("<i8").tobytes()], lengths=[total[seen].astype("<i8").tobytes()], ids=[b""])
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for b in batches:
-        for ids in b.column(0):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
-            more[: len(total)] += total
-            total = more
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+        for ids, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(n, "<i8"))], names=["id", "n"])
 
 
 def _write(out: str, rank_of: np.ndarray):
@@ -159,13 +164,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
     blocks = save(ordered.mapInArrow(_tokenise(tokenizer, end_id), BLOCKS), staged)
     del ordered
     release(spark)
-    counts = blocks.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = blocks.where(F.col("block") == COUNTS).select("doc_ids", "lengths").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_rank = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     store, root = pafs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    files = save(blocks.mapInArrow(_write(path, rank_of), FILES), f"{path}/files")
+    files = save(blocks.where(F.col("block") != COUNTS).mapInArrow(_write(path, rank_of), FILES), f"{path}/files")
     with store.open_output_stream(f"{root}/ranks.json") as f:
         f.write(json.dumps({"end_id": end_id, "ids_by_rank": by_rank.tolist()}).encode())
     drop(spark, staged)

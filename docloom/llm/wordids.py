@@ -75,7 +75,12 @@ class WordEncoder:
         if len(words.parts) > self.kept:
             words.parts = {}
         get = words.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        out = []
+        for t in texts:
+            if t and t.isascii() and "<|" not in t:  # the vocabulary is lower-case; here that is one pass
+                t = t.lower()
+            out.append(b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"")
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
