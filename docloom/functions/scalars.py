@@ -82,7 +82,8 @@ def enum_label(labels: list[str], ordinal: Column) -> Column:
 
 def set_labels(labels: list[str], mask: Column) -> Column:
     """The labels of a bit mask, lowest bit first."""
-    return F.filter(F.array(*map(F.lit, labels)), lambda x: mask.bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), F.array_position(F.array(*map(F.lit, labels)), x).cast("int") - 1)) != 0)
+    bits = F.array(*(F.struct(F.lit(x).alias("label"), F.lit(1 << i).cast("bigint").alias("bit")) for i, x in enumerate(labels)))
+    return F.transform(F.filter(bits, lambda x: mask.bitwiseAND(x["bit"]) != 0), lambda x: x["label"])
 
 
 def bit_number(data: Column) -> Column:
