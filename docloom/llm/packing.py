@@ -103,14 +103,15 @@ PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        coder, step = encoder(tokenizer), 4 * capacity
+        end = np.array([end_id], coder.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             docs, texts = b.column(0).to_pylist(), texts_of(b.column(1))
             for i, j in slices(texts, 1 << 20):
                 rows = []
                 for doc, coded in zip(docs[i:j], coder.encode(texts.slice(i, j - i).to_pylist()), strict=True):
-                    coded += end
+                    coded = np.frombuffer(coded + end, coder.dtype).astype("<u4").tobytes()
                     for piece, at in enumerate(range(0, len(coded), step)):
                         ids = coded[at : at + step]
                         n = len(ids) // 4

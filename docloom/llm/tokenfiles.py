@@ -42,9 +42,13 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     four[: len(ranks)] = size
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    a, b, c, d = four.reshape(-1, 4).T
+    control = a | b << 2 | c << 4 | d << 6
     width = int(size.max()) + 1 if len(size) else 1
-    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= size[:, None]]
+    used = np.ones((len(ranks), width), bool)
+    for place in range(1, width):
+        used[:, place] = size >= place
+    data = np.ascontiguousarray(ranks.view(np.uint8).reshape(-1, 4)[:, :width]).ravel().compress(used.ravel())
     return control.tobytes(), data.tobytes()
 
 
@@ -57,7 +61,7 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     padded = data + b"\0\0\0"
     width = "<u2" if lengths.max() <= 2 else "<u4"
     windows = np.ndarray((len(data),), dtype=width, buffer=padded, strides=(1,))
-    return (windows[starts] & MASKS.astype(width)[lengths]).astype(np.uint32)
+    return (windows.take(starts) & MASKS.astype(width).take(lengths)).astype(np.uint32)
 
 
 def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -86,16 +90,17 @@ BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids
 
 def _tokenise(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder = encoder(tokenizer)
+        end, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
         part, block, docs, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         total = np.zeros(1, np.int64)
 
         def flush() -> pa.RecordBatch:
             nonlocal total
-            more = np.bincount(np.frombuffer(b"".join(parts), "<u4"), minlength=len(total))
+            more = np.bincount(np.frombuffer(b"".join(parts), coder.dtype), minlength=len(total))
             more[: len(total)] += total
             total = more
-            lengths = np.array([len(x) // 4 for x in parts], "<u4")
+            lengths = np.array([len(x) // width for x in parts], "<u4")
             return batch(BLOCKS_ARROW, part=[part], block=[block], doc_ids=[np.array(docs, "<i8").tobytes()], lengths=[lengths.tobytes()], ids=[b"".join(parts)])
 
         for b in batches:
@@ -104,7 +109,7 @@ def _tokenise(tokenizer: str, end_id: int):
                 for doc, coded in zip(ids[i:j], coder.encode(texts.slice(i, j - i).to_pylist()), strict=True):
                     docs.append(doc)
                     parts.append(coded + end)
-                    size += len(coded) // 4 + 1
+                    size += len(coded) // width + 1
                     if size >= BLOCK_IDS:
                         yield flush()
                         block, docs, parts, size = block + 1, [], [], 0
@@ -128,11 +133,11 @@ def _write(out: str, rank_of: np.ndarray):
         for b in batches:
             for row in b.to_pylist():
                 docs, lengths = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<u4")
-                ids = np.frombuffer(row["ids"], "<u4")
+                ids = np.frombuffer(row["ids"], "<u2" if len(row["ids"]) == 2 * int(lengths.sum()) else "<u4")
                 name = f"{row['part']:08d}-{row['block']:06d}.tok"
                 half = f"{root}/.{name}.{uuid.uuid4().hex}"  # another attempt at this task writes the same bytes
                 with store.open_output_stream(half) as f:
-                    f.write(file_bytes(docs, lengths, rank_of[ids]))
+                    f.write(file_bytes(docs, lengths, rank_of.take(ids)))
                 store.move(half, f"{root}/{name}")
                 yield pa.RecordBatch.from_pylist([{"part": row["part"], "block": row["block"], "file": name, "n_docs": len(docs), "n_ids": len(ids)}], schema=FILES_ARROW)
 
@@ -197,7 +202,7 @@ def _read(path: str, by_rank: np.ndarray, with_ids: bool):
             for row in b.to_pylist():
                 with store.open_input_stream(f"{root}/{row['file']}") as f:
                     docs, lengths, ranks = parse_file(f.read())
-                raw = memoryview(by_rank[ranks].astype("<u4").tobytes())
+                raw = memoryview(by_rank.take(ranks).astype("<u4").tobytes())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 cuts = list(zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True))

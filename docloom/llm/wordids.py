@@ -13,7 +13,9 @@ import os
 import re
 from array import array
 
-KEPT_WORDS = 200_000
+import numpy as np
+
+KEPT_WORDS = 350_000
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
@@ -32,6 +34,8 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # 16-bit integers if all ids fit
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -44,7 +48,7 @@ class Words(dict):
 
     def coded(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable() or PLAIN(word)) or "<|" in word:
-            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         low, parts = word.lower(), self.parts
         if low.isalpha():
             return parts.get(low) or self.part(low)
@@ -56,16 +60,17 @@ class Words(dict):
     def part(self, part: str) -> bytes:
         """Ids of a pre-token, by the BPE model over its bytes' letters."""
         letters = part if part.isascii() else "".join(map(BYTE_LETTERS.__getitem__, part.encode()))
-        ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        ids = self.parts[part] = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 
 
 class WordEncoder:
-    """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit integers."""
+    """``encode(texts)`` gives for each text its ids as little-endian unsigned integers of ``dtype``."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
         self.kept = kept
         self.words = Words(path)
+        self.dtype = np.dtype("<u2" if self.words.kind == "H" else "<u4")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = self.words
