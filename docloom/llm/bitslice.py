@@ -171,7 +171,7 @@ def exact_topk(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Blocks of rows meet blocks of queries; each pair of blocks returns at most k rows a query.
     """
-    one = lambda df: usable_vectors(df).withColumn("cell", F.lit(0))
+    one = lambda df: usable_vectors(df).withColumn("cell", F.pmod("vec_id", F.lit(1)).cast("int"))
     rows, asked = grid(one(table), one(queries), ROW_BLOCK, QUERY_BLOCK)
     keys = ["cell", "rb", "qb"]
     found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")

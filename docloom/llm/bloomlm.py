@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, drop, learned, release, save, scratch, texts_of
+from .common import batch, drop, learned, release, save, scratch, small_batches, texts_of
 from .wordhash import U, mix, word_batches
 
 BITS = 1 << 28
@@ -283,6 +283,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``."""
     spark = docs.sparkSession
     held, use = learned("doc_id", 7, 2)
+    small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), use.alias("use"), F.col("text").cast("string").alias("text"))
     blocks = save(chosen.mapInArrow(_blocks, BLOCKS), scratch(spark, "lm-blocks"))
     words_at, pairs_at = scratch(spark, "lm-words"), scratch(spark, "lm-pairs")

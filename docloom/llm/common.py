@@ -13,6 +13,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most ``ROWS_PER_BATCH`` rows, on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, ROWS_PER_BATCH)
+
+
+def chosen(docs: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """The named columns of ``docs`` in these types and order, whatever others it has."""
+    from pyspark.sql import functions as F
+
+    small_batches(docs.sparkSession)
+    return docs.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns or (("doc_id", "long"), ("text", "string"))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

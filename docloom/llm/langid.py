@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, learned, slices, texts_of
+from .common import batch, chosen, learned, slices, small_batches, texts_of
 
 SYMBOLS = 64
 DIMENSIONS = 2048
@@ -90,8 +90,8 @@ def _bundle(dimensions: int, seed: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         codes, n, letters = table["code"].to_numpy(), table["n"].to_numpy().astype(np.float64), letter_vectors(dimensions, seed)
         total = np.zeros(dimensions)
-        for i in range(0, len(codes), 4096):
-            total += n[i : i + 4096] @ bind(codes[i : i + 4096], letters).astype(np.float64)
+        for i in range(0, len(codes), 512):
+            total += n[i : i + 512] @ bind(codes[i : i + 512], letters).astype(np.float64)
         return pa.table({"lang": [key[0].as_py()], "vector": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
     return run
@@ -99,7 +99,7 @@ def _bundle(dimensions: int, seed: int):
 
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from all of ``docs`` (lang, text); only one vector a language reaches the driver."""
-    known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = chosen(docs.where(F.col("lang").isNotNull()), ("lang", "string"), ("text", "string"))
     counts = known.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").applyInArrow(_bundle(dimensions, seed), "lang string, vector array<double>").collect()
     made = {r["lang"]: np.array(r["vector"]) for r in sorted(rows, key=lambda r: r["lang"])}
@@ -114,8 +114,8 @@ def _predict(prototypes: dict[str, np.ndarray], seed: int):
     names = list(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = np.array([prototypes[n] for n in names]).reshape(len(names), -1)
-        letters = letter_vectors(matrix.shape[1], seed) if names else None
+        matrix = np.array([prototypes[n] for n in names])
+        letters = letter_vectors(matrix.shape[-1], seed) if names else None
         products = np.full((len(names), CODES), np.nan, np.float64)  # filled as trigrams are met
         for b in batches:
             texts = texts_of(b.column(2))
@@ -126,8 +126,8 @@ def _predict(prototypes: dict[str, np.ndarray], seed: int):
                 cosines = np.zeros((len(names), n))
                 if names:
                     fresh = np.unique(codes[np.isnan(products[0, codes])])
-                    for k in range(0, len(fresh), 4096):
-                        part = fresh[k : k + 4096]
+                    for k in range(0, len(fresh), 512):
+                        part = fresh[k : k + 512]
                         products[:, part] = matrix @ bind(part, letters).T.astype(np.float64)
                     for k in range(len(names)):
                         cosines[k] = np.bincount(owner, weights=products[k][codes], minlength=n)
@@ -145,6 +145,7 @@ def _predict(prototypes: dict[str, np.ndarray], seed: int):
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 7) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row; the prototypes are one vector a language."""
     held_out, _ = learned("doc_id", 4, 2)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(prototypes, seed), PREDICTED)
 
@@ -159,6 +160,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all columns) whose language is told; ``und`` rows go. Learns as :func:`langid` does."""
     _, use = learned("doc_id", 4, 2)
     known, at = learn(docs.where(use)), docs.columns.index("text")
+    small_batches(docs.sparkSession)
     predict = _predict(known, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

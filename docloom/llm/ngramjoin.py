@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, drop, release, save, scratch, texts_of
+from .common import batch, chosen, drop, release, save, scratch, texts_of
 from .components import components, forget
 from .wordhash import U, mix, shingle_sets, word_batches
 
@@ -310,7 +310,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
         paths.append(scratch(spark, name))
         return save(df, paths[-1])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = chosen(docs)
     first = kept(docs.mapInArrow(_classes(k), ROWS), "join-rows")
     rows = first.where(F.col("class").isNotNull()).select("doc_id", "class", "n")
     pieces = first.where(F.col("piece").isNotNull()).select("piece", "counts")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, save, scratch, slices, texts_of
+from .common import batch, chosen, save, scratch, slices, texts_of
 from .wordids import encoder
 
 
@@ -151,8 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
     if capacity >= 1 << 22:
         raise ValueError("capacity is too large")
     spark = docs.sparkSession
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = save(chosen.mapInArrow(_cut(tokenizer, end_id, capacity), PIECES), scratch(spark, "pieces"))
+    pieces = save(chosen(docs).mapInArrow(_cut(tokenizer, end_id, capacity), PIECES), scratch(spark, "pieces"))
     sizes = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps, _ = plan_packing(counts, capacity)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts_of
+from .common import batch, chosen, slices, texts_of
 
 MARK = "▁"
 KEPT_WORDS = 300_000
@@ -202,7 +202,8 @@ class PieceCoder:
             split.append(words)
         self.learn({w for ws in split for w in ws if w not in known and not w.startswith(" ")})
         for w in {w for ws in split for w in ws if w not in known}:
-            known[w] = np.array(self.library.encode(w[1:] if w.startswith(" ") else w), "<u4").tobytes()
+            ids = [self.ids[MARK]] if w == " " else self.library.encode(w[1:] if w.startswith(" ") else w)
+            known[w] = np.array(ids, "<u4").tobytes()
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
@@ -252,8 +253,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 coded, crcs = c.encode(part), [zlib.crc32(t.encode()) for t in part]
                 yield batch(CODED_ARROW, doc_id=b.column(0).slice(i, j - i), n_tokens=[len(x) // 4 for x in coded], ids_crc32=[zlib.crc32(x) for x in coded], text_crc32=crcs, ids=coded)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, ids binary")
+    return chosen(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, ids binary")
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts_of
+from .common import batch, chosen, slices, small_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -238,12 +238,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Counts by kind of base spans, their digest, and all spans, for each row of ``docs``; no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_find, FOUND)
+    return chosen(docs).mapInArrow(_find, FOUND)
 
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind; all other columns stay, null texts stay null."""
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts_of
+from .common import batch, chosen, slices, texts_of
 
 PART = 1 << 16
 BATCH = 1 << 20
@@ -94,5 +94,4 @@ def _count(tokenizer: str, limit: int):
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row of ``docs``; no shuffle."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(_count(tokenizer, limit), COUNTS)
+    return chosen(docs).mapInArrow(_count(tokenizer, limit), COUNTS)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, drop, release, save, scratch, slices, texts_of
+from .common import batch, chosen, drop, release, save, scratch, slices, texts_of
 from .wordids import encoder
 
 MAGIC = b"TOKRANK1"
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
     """
     spark = docs.sparkSession
     staged = scratch(spark, "token-blocks")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = chosen(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = save(ordered.mapInArrow(_tokenise(tokenizer, end_id), BLOCKS), staged)
     del ordered
     release(spark)
