@@ -109,7 +109,7 @@ def json_text(value: Column, kind: T.DataType) -> Column:
 
 def pieces(text: Column, by: str) -> Column:
     """A delimited text's pieces, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "\\Q" + by.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\\Q" + by.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 # Strptime directives and the Java pattern letters for them.

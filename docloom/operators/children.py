@@ -52,7 +52,7 @@ def collected(child: Child) -> DataFrame:
     """A row a parent: _fk, the elements in order, and how many there are in all."""
     rows = child.table
     if child.where:
-        rows = rows.where(Predicate(child.where).keeps(rows.schema))
+        rows = rows.where(Predicate(child.where).column(rows.schema))
     names = [c for c in rows.columns if (child.columns is None or c in child.columns) and c not in child.exclude]
     order = child.order or rows.columns
     if child.through:
@@ -94,7 +94,7 @@ def attach_count(parents: DataFrame, key: str, name: str, table: DataFrame, fk:
     """``parents`` with the number of related rows that the predicate keeps: 0 where there is none."""
     rows = table.where(F.col(q(fk)).isNotNull())
     if where:
-        rows = rows.where(Predicate(where).keeps(rows.schema))
+        rows = rows.where(Predicate(where).column(rows.schema))
     counts = rows.groupBy(F.col(q(fk)).alias("_fk")).agg(F.count("*").alias("_c"))
     return parents.join(counts, parents[key] == counts["_fk"], "left").withColumn(name, F.coalesce("_c", F.lit(0).cast("bigint"))).drop("_fk", "_c")
 

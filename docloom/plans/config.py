@@ -210,7 +210,7 @@ def documents(view: View, tables: dict[str, DataFrame], rows: DataFrame | None =
     if view.where and filtered:
         predicate = Predicate(view.where)
         predicate.check(df.schema)
-        df = df.where(predicate.keeps(df.schema))
+        df = df.where(predicate.column(df.schema))
     raw = df.schema
     id = view.doc_id()
     meta = {"_index": index_name(view.index), "_id": content_id(raw) if id is None else id}

@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keeps(df: DataFrame, where: str) -> DataFrame:
-    return df.where(Predicate(where).keeps(df.schema))
+    return df.where(Predicate(where).column(df.schema))
 
 
 def joined(items: Column, *fields: str) -> Column:

@@ -14,7 +14,7 @@ from docloom.functions.predicate import Predicate
 def snapshot(table: DataFrame, where: str | None = None, extra: str | None = None, version: int | None = None) -> DataFrame:
     """The rows of a table to load; ``extra`` is SQL given by an operator for one reload, ``version`` the position read before."""
     if where:
-        table = table.where(Predicate(where).keeps(table.schema))
+        table = table.where(Predicate(where).column(table.schema))
     if extra:
         table = table.where(F.expr(extra))
     return table if version is None else table.withColumn("version", F.lit(version).cast("bigint"))
