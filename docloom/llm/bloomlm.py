@@ -297,6 +297,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rest = tokens - sum(r["c"] for r in own)
     pairs = save(blocks.mapInArrow(_pairs(hashes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), pairs_at)
     bits = build_filter(words, pairs, len(hashes) + 1)
+    drop(spark, pairs_at)
+    del pairs
+    release(spark)  # the shuffles of the filter's entries
     model = Model(bits, hashes, tokens, distinct, (rest + 1) / (tokens + distinct + 1))
     counted = keyed.mapInArrow(_word_counts(True), "h long, block long").join(words, "h").select("block", "h", "c")
     return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(model), SCORED)
