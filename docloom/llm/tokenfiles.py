@@ -29,6 +29,7 @@ from .wordids import encoder
 
 MAGIC = b"TOKRANK1"
 BLOCK_IDS = 2_000_000
+FILES_PER_TASK = 4
 COUNTS = -1  # the block that holds a task's counts by id
 NO_ID = np.iinfo(np.int64).min
 
@@ -221,9 +222,9 @@ def read_token_files(files: TokenFiles, with_ids: bool = False) -> DataFrame:
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
     listed = files.files.withColumn("within", within).join(before, "part").select("file", (F.col("before") + F.col("within")).alias("start"))
-    shards = max(1, min(files.files.count(), 20_000))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.files.count() // FILES_PER_TASK))
     schema = READ + (", ids binary" if with_ids else "")
-    return listed.repartition(max(shards, spark.sparkContext.defaultParallelism), "file").mapInArrow(_read(files.path, files.ids_by_rank, with_ids), schema)
+    return listed.repartition(tasks, "file").mapInArrow(_read(files.path, files.ids_by_rank, with_ids), schema)
 
 
 def token_files_query(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
