@@ -6,8 +6,8 @@ that link must share an n-gram of their prefixes, so classes meet in the posting
 
 No list is paired out. All lists with the same middle class (the one in most lists) form a group, of the
 classes in any of them. Within a group, classes that share too few prefix n-grams with every other are
-dropped; only the rest have their whole sets made. A large group's classes are first dealt out at random over blocks of bounded
-size, twice, and each block gives only the links that connect it; so large groups of copies grow together at
+dropped; only the rest have their whole sets made. A large group's classes are first dealt out at random over blocks of about
+``GROUP`` classes or ``GRAMS`` n-grams, whichever is reached first, twice, and each block gives only the links that connect it; so large groups of copies grow together at
 the cost of shipping each set once a turn. Then the group is finished in pairs of blocks, but for pairs within
 its largest component: each two classes of a list are compared once there, unless they are already
 connected. So the components are exact, and no task or table holds more than blocks of a group.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, chosen, drop, release, save, scratch, texts_of
@@ -37,6 +37,8 @@ from .wordhash import U, mix, shingle_sets, word_batches
 COUNTERS = 1 << 20
 PIECE = 1 << 16
 GROUP = 256
+GRAMS = 1 << 20
+COLUMNS = 1 << 14
 BLOCK_TURNS = 2
 NO_ID = np.iinfo(np.int64).max
 
@@ -237,6 +239,23 @@ def _connect(num: int, den: int, all_pairs: bool):
     return run
 
 
+def _shared(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams each of ``left`` shares with each of ``right``, by at most ``COLUMNS`` n-grams at a time."""
+    _, place, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    common = times > 1
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[common[place]]
+    column = (np.cumsum(common) - 1)[place[common[place]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(grams), int(column[b - 1]) + 1 - first), np.float32)
+        held[row[a:b], column[a:b] - first] = 1
+        shared += held[left] @ held[right].T
+    return shared
+
+
 def _could_link(num: int, den: int):
     """Classes of a pair of blocks that may link with another, by how many prefix n-grams two of them share.
 
@@ -247,37 +266,39 @@ def _could_link(num: int, den: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, n, own = rows["class"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["own"].to_numpy()
         grams = [x.values.to_numpy() for x in rows["grams"]]
-        _, place = np.unique(np.concatenate(grams), return_inverse=True)
-        held = np.zeros((len(ids), int(place.max()) + 1), np.float32)
-        held[np.repeat(np.arange(len(ids)), [len(g) for g in grams]), place] = 1
         left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
         if not len(left) or not len(right):
-            return rows.select(["mid", "class", "rank"]).slice(0, 0)
-        shared = held[left] @ held[right].T
+            return rows.select(["mid", "class", "rank", "n"]).slice(0, 0)
+        shared = _shared(grams, left, right)
         a, b = n[left][:, None], n[right][None]
         least = needed(a, b, num, den) + np.minimum(np.minimum(prefix(a, num, den), a) - a, np.minimum(prefix(b, num, den), b) - b)
         good = (shared >= np.maximum(least, 1)) & (a * den >= b * num) & (b * den >= a * num) & (ids[left][:, None] != ids[right][None])
         kept = np.union1d(left[good.any(axis=1)], right[good.any(axis=0)])
-        return rows.select(["mid", "class", "rank"]).take(pa.array(kept))
+        return rows.select(["mid", "class", "rank", "n"]).take(pa.array(kept))
 
     return run
 
 
+def blocks_of(classes: Column, grams: Column) -> Column:
+    """How many blocks a group of so many classes and n-grams is dealt over."""
+    return F.ceil(F.greatest(classes / GROUP, grams / GRAMS)).cast("int")
+
+
 def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """(mid, class, rank): groups by lists' middle class, less the classes that can't link within theirs."""
+    """(mid, class, rank, n): groups by lists' middle class, less the classes that can't link within theirs."""
     short = lists.groupBy("class").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.collect_list("gram").alias("grams"))
     mids = lists.groupBy("gram").agg(F.min(F.struct("rank", "class")).alias("m")).select("gram", F.col("m.class").alias("mid"))
-    groups = lists.select("gram", "class").join(mids, "gram").select("mid", "class").distinct()
-    blocks = groups.groupBy("mid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    groups = lists.select("gram", "class", "n").join(mids, "gram").select("mid", "class", "n").distinct()
+    blocks = groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
     dealt = groups.join(blocks, "mid").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.select("mid", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("mid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class").join(short, "class")
-    return dealt.groupBy("mid", "i", "j").applyInArrow(_could_link(num, den), "mid long, class long, rank long").distinct()
+    return dealt.groupBy("mid", "i", "j").applyInArrow(_could_link(num, den), "mid long, class long, rank long, n int").distinct()
 
 
 def connect_blocks(groups: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Links found within random blocks of about ``GROUP`` classes of each of ``groups`` (mid, class, label, rank)."""
-    sizes = groups.groupBy("mid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("blocks > 1")
+    """Links found within random blocks of each of ``groups`` (mid, class, label, rank, n)."""
+    sizes = groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1")
     block = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("blocks")).cast("int")
     dealt = groups.join(sizes, "mid").select("mid", block.alias("i"), block.alias("j"), block.alias("own"), "class", "label", "rank")
     return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, False), "a long, b long")
@@ -285,10 +306,10 @@ def connect_blocks(groups: DataFrame, sets: DataFrame, turn: int, num: int, den:
 
 def finish(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between classes of different labels of each of ``groups``, from all pairs of its blocks but those of its largest label."""
-    labels = groups.groupBy("mid", "label").agg(F.count("*").alias("c"))
-    tops = labels.groupBy("mid").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")).where("n > top.c")
-    blocks = lambda n: F.ceil(n / GROUP).cast("int")
-    tops = tops.select("mid", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many"))
+    labels = groups.groupBy("mid", "label").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
+    tops = labels.groupBy("mid").agg(F.sum("c").alias("c"), F.sum("g").alias("g"), F.max(F.struct("c", "label", "g")).alias("top")).where("c > top.c")
+    few, many = blocks_of(F.col("c") - F.col("top.c"), F.col("g") - F.col("top.g")), blocks_of(F.col("top.c"), F.col("top.g"))
+    tops = tops.select("mid", F.col("top.label").alias("top"), few.alias("few"), many.alias("many"))
     rows = groups.join(tops, "mid")
     outside, h = F.col("label") != F.col("top"), F.xxhash64("class")
     own = F.when(outside, F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("many"))).cast("int")
@@ -333,7 +354,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
     sets = kept(texts.mapInArrow(_sets(k), "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
     release(spark)
-    large = not groups.groupBy("mid").count().where(F.col("count") > GROUP).isEmpty()
+    large = not groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1").isEmpty()
     labels = groups.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
     for turn in range(BLOCK_TURNS + 1 if large else 1):
         labelled = groups.join(labels.withColumnRenamed("node", "class"), "class")

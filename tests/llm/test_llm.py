@@ -136,9 +136,10 @@ def test_join_components(docs, rows, k, num):
     assert Counter(map(tuple, ngramjoin.ngram_join(docs, k, num, 100).collect())) == brute_components(rows, k, num)
 
 
-def test_join_of_a_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [("GROUP", 8), ("GRAMS", 150)])
+def test_join_of_a_large_group(spark, monkeypatch, bound):
     """Many near copies, few of which are alike enough: groups are split over blocks and finished in pairs of them."""
-    monkeypatch.setattr(ngramjoin, "GROUP", 8)
+    monkeypatch.setattr(ngramjoin, *bound)
     r = random.Random(3)
     base, rows = sentence(r, 60, 10**6).split(), []
     for i in range(70):
@@ -150,6 +151,15 @@ def test_join_of_a_large_group(spark, monkeypatch):
     assert Counter(map(tuple, ngramjoin.ngram_join(docs, 4, 85, 100).collect())) == brute_components(rows, 4, 85)
 
 
+def test_join_counts_shared_grams_in_parts(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "COLUMNS", 3)
+    r = np.random.Generator(np.random.PCG64(5))
+    grams = [np.unique(r.integers(0, 30, n)) for n in (1, 9, 14, 20, 2)]
+    got = ngramjoin._shared(grams, np.array([0, 1, 3]), np.array([2, 4]))
+    assert got.tolist() == [[len(np.intersect1d(grams[a], grams[b])) for b in (2, 4)] for a in (0, 1, 3)]
+    assert ngramjoin._shared([np.array([1]), np.array([2])], np.array([0]), np.array([1])).tolist() == [[0]]
+
+
 def test_join_of_nothing(empty):
     assert ngramjoin.ngram_join(empty).count() == 0
 
