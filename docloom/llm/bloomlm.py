@@ -1,22 +1,20 @@
 """A bigram language model in a log-frequency Bloom filter, and exact add-one unigram scores.
 
-Counts are gathered exactly, over all learning documents, then quantised: level 1 + floor(log(count) /
-log(BASE)). An n-gram of level q is put into the filter q times, as (n-gram, 1) to (n-gram, q); a probe
-counts up until the first miss. The filter has a fixed number of bits whatever the corpus (a parameter;
-a false positive raises a level by one with the filter's error rate), is built segment by segment, and is
-broadcast.
+Counts of all words and all word bigrams are gathered exactly, over all learning documents, then
+quantised: level 1 + floor(log(count) / log(BASE)). An n-gram of level q is put into the filter q times,
+as (n-gram, 1) to (n-gram, q); a probe counts up until the first miss.
 
-The model: a word that makes up at least ``SHARE`` of all tokens (there can be at most 1 / SHARE such
-words), and the end, stands for itself as context; all other words are one class. With c the counts
-that the filter gives back, u(w) = (c(w) + 1) / (N + V + 1) and U the class's share,
-  P(w | v) = (c(v, w) + ALPHA * u(w)) / (c(v) + ALPHA)                    for a word of its own,
-  P(w | v) = (c(v, class) + ALPHA * U) / (c(v) + ALPHA) * u(w) / U        for a word of the class.
+The filter lies in segments by ranges of n-gram hashes, and their number grows with the tokens. Each block
+of texts sends its distinct n-grams, with its own counts, to the segments, which add them up, are filled,
+and are probed for the same n-grams; the levels go back to the block. No task and not the driver holds
+more than a segment, or the vocabulary.
 
-Texts are hashed once, into blocks of local word numbers; later steps read those blocks. Word counts
-meet the blocks again by a join on the word and a regrouping by block, so no task holds the vocabulary.
+The model: with c the counts that the filter gives back and u(w) = (c(w) + 1) / (N + V + 1),
+  P(w | v) = (c(v, w) + ALPHA * u(w)) / (c(v) + ALPHA).
+A document begins after the end of another; as every word has a next token, c(v) is v's count as context.
 
 Edge cases: a null or empty text is its end alone. A null id is neither held out nor learned from; its
-text is scored. Nothing learned: N = V = 0. Words are told apart by 64-bit hashes.
+text is scored. Nothing learned: N = V = 0. Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,24 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, drop, learned, release, save, scratch, small_batches, texts_of
+from .common import batch, learned, release, save, scratch, small_batches, texts_of
 from .wordhash import U, mix, word_batches
 
-BITS = 1 << 28
-SEGMENTS = 256
+SEGMENTS = 256  # at least
+SEGMENT_BITS = 1 << 20  # of a filter filled by _fill
 HASHES = 3
 BASE = 1.5
-SHARE = 1e-4
 ALPHA = 50.0
 BLOCK_WORDS = 2_000_000
+SEGMENT_TOKENS = 1 << 20
 END = 0x9D39247E33776D41  # the end's word hash
 
-SEGMENT_BITS = BITS // SEGMENTS
-
-
-def as_long(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """Quantised counts: 0 for 0, else 1 + floor(log(count) / log(BASE))."""
@@ -60,31 +52,31 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 1, BASE ** (levels - 0.5), np.where(levels == 1, 1.0, 0.0))
 
 
-def bits_of(keys: np.ndarray, level: int) -> np.ndarray:
+def bits_of(keys: np.ndarray, level: int, n_bits: int = SEGMENT_BITS) -> np.ndarray:
     """Bit positions within the segment of (key, level), a row a hash function."""
     with np.errstate(over="ignore"):
         h = mix(keys + U(level) * U(0x9E3779B97F4A7C15))
         step = (h >> U(32)) | U(1)
-        return np.array([(h + U(i) * step) % U(SEGMENT_BITS) for i in range(HASHES)])
+        return np.array([(h + U(i) * step) % U(n_bits) for i in range(HASHES)])
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ U(0x5851F42D4C957F2D)) % U(SEGMENTS)).astype(np.int64)
+def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    return (mix(keys ^ U(0x5851F42D4C957F2D)) % U(segments)).astype(np.int64)
 
 
 class Filter:
-    """The whole filter, for probing."""
+    """Equal segments' bits, for probing."""
 
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, segments: int = SEGMENTS) -> None:
+        self.bits, self.segments, self.n_bits = bits, segments, len(bits) * 8 // segments
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by repeated membership probes."""
         found = np.zeros(len(keys), np.int64)
         alive, level = np.arange(len(keys)), 1
-        segment = segment_of(keys).astype(np.uint64) * U(SEGMENT_BITS)
+        segment = segment_of(keys, self.segments).astype(np.uint64) * U(self.n_bits)
         while len(alive):
-            at = bits_of(keys[alive], level) + segment[alive]
+            at = bits_of(keys[alive], level, self.n_bits) + segment[alive]
             hit = ((self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).all(axis=0)
             alive = alive[hit]
             found[alive] = level
@@ -92,8 +84,18 @@ class Filter:
         return found
 
 
-BLOCKS = "block long, doc_ids binary, flags binary, lengths binary, words binary, keys binary, counts binary"
-BLOCKS_ARROW = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "flags", "lengths", "words", "keys", "counts"))])
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, so that high zero bytes compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def of_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+BLOCKS = "block long, size long, doc_ids binary, flags binary, lengths binary, words binary, keys binary, counts binary"
+BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("size", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "flags", "lengths", "words", "keys", "counts"))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +106,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, flag, length = np.concatenate(words), np.concatenate(flags), np.concatenate(lengths)
         keys, local = np.unique(every, return_inverse=True)
         counts = np.bincount(local[np.repeat(flag & 2 > 0, length)], minlength=len(keys))
-        data = {"doc_ids": np.concatenate(docs).astype("<i8"), "flags": flag, "lengths": length.astype("<u4"), "words": local.astype("<u4"), "keys": keys, "counts": counts.astype("<u4")}
-        return batch(BLOCKS_ARROW, block=[part << 24 | number], **{k: [v.tobytes()] for k, v in data.items()})
+        data = {"doc_ids": np.concatenate(docs).astype("<i8"), "flags": flag, "lengths": length.astype("<u4"), "words": local.astype("<u4"), "keys": np.diff(keys, prepend=U(0)), "counts": counts.astype("<u4")}
+        return batch(BLOCKS_ARROW, block=[part << 24 | number], size=[len(every)], **{k: [planes(v)] for k, v in data.items()})
 
     for b in batches:
         ids = b.column(0)
@@ -132,77 +134,74 @@ class Block:
     lengths: np.ndarray
     words: np.ndarray
     keys: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray  # empty where only texts are read
 
     @staticmethod
     def of(row: dict) -> Block:
-        kinds = {"doc_ids": "<i8", "flags": np.uint8, "lengths": "<u4", "words": "<u4", "keys": "<u8", "counts": "<u4"}
-        return Block(*(np.frombuffer(row[k], t) for k, t in kinds.items()))
+        kinds = {"doc_ids": "<i8", "flags": "u1", "lengths": "<u4", "words": "<u4", "keys": "<u8", "counts": "<u4"}
+        block = Block(*(of_planes(row.get(k) or b"", t) for k, t in kinds.items()))
+        block.keys = np.cumsum(block.keys, dtype=np.uint64)
+        return block
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Local words of the distinct bigrams, the first's and the second's, and each token's place among them."""
+        codes = np.roll(self.words, 1).astype(np.int64)
+        codes[np.cumsum(self.lengths, dtype=np.int64) - self.lengths] = np.searchsorted(self.keys, U(END))
+        codes *= len(self.keys)
+        codes += self.words
+        order = np.argsort(codes)
+        codes = codes[order]
+        new = np.diff(codes, prepend=-1) > 0
+        place = np.empty(len(codes), np.uint32)
+        place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        codes = codes[new]
+        return (codes // len(self.keys)).astype(np.uint32), (codes % len(self.keys)).astype(np.uint32), place
 
-    def context_codes(self, frequent: np.ndarray) -> np.ndarray:
-        """Each local word's class: its place among the ``frequent`` hashes (sorted), or their number."""
-        at = np.minimum(np.searchsorted(frequent, self.keys), max(0, len(frequent) - 1))
-        own = frequent[at] == self.keys if len(frequent) else np.zeros(len(self.keys), bool)
-        return np.where(own, at, len(frequent))
 
-    def before(self, classes: np.ndarray, end: int) -> np.ndarray:
-        """The class before each token; the end's before a document's first."""
-        prev = np.roll(classes, 1)
-        prev[np.cumsum(self.lengths, dtype=np.int64) - self.lengths] = end
-        return prev
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Filter keys of bigrams of word hashes."""
+    return mix(mix(first + U(0xC2B2AE3D27D4EB4F)) ^ (second + U(0x165667B19E3779F9)))
 
 
-def _word_counts(all_words: bool):
-    """(h, block, c) rows of the blocks' words; only learned ones, or all."""
+def range_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each key; segments are ranges of keys."""
+    return ((keys >> U(32)) * U(segments)) >> U(32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                keys, counts = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                use = np.arange(len(keys)) if all_words else np.flatnonzero(counts)
-                for i in range(0, len(use), 100_000):
-                    part = use[i : i + 100_000]
-                    second = np.full(len(part), row["block"], np.int64) if all_words else counts[part]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(second)], names=["h", "block" if all_words else "c"])
-
-    return run
 
+ASKED = "segment int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
+ASKED_NAMES = ["segment", "block", "words", "word_counts", "pairs", "pair_counts"]
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Filter keys of class pairs; a second of -1 stands for the first alone, as a context."""
-    return mix(mix(first.astype(np.uint64) + U(0xC2B2AE3D27D4EB4F)) ^ (second.astype(np.int64).astype(np.uint64) + U(0x165667B19E3779F9)))
 
+def _ask(segments: int):
+    """For each block and segment the distinct words and bigrams, as steps between sorted keys, with the block's learned counts."""
 
-def _pairs(frequent: np.ndarray):
-    width, end = len(frequent) + 1, int(np.searchsorted(frequent, U(END)))
+    def parts(keys: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype("<u4")
+        cuts = np.searchsorted(range_of(keys, segments), np.arange(segments + 1, dtype=np.uint64)).tolist()
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return [planes(np.diff(keys[a:b], prepend=U(0))) for a, b in spans], [planes(counts[a:b]) for a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = Block.of(row)
-                classes = block.context_codes(frequent)[block.words]
-                use = np.repeat(block.flags & 2 > 0, block.lengths)
-                codes, n = np.unique((block.before(classes, end) * width + classes)[use], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+                first, second, place = block.bigrams()
+                counts = np.bincount(place[np.repeat(block.flags & 2 > 0, block.lengths)], minlength=len(first))
+                columns = [*parts(mix(block.keys), block.counts), *parts(pair_keys(block.keys[first], block.keys[second]), counts)]
+                met = [i for i in range(segments) if columns[0][i] or columns[2][i]]
+                for i in range(0, len(met), 1000):
+                    some = met[i : i + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *(pa.array([c[k] for k in some], pa.binary()) for c in columns)], names=ASKED_NAMES)
 
     return run
 
 
-def _entries(kind: str, width: int):
-    """(segment, key, level) of counted words or class pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if kind == "word":
-                keys = mix(code.view(np.uint64))
-            elif kind == "pair":
-                keys = pair_keys(code // width, code % width)
-            else:
-                keys = pair_keys(code, np.full(len(code), -1))
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys).astype(np.int32)), pa.array(as_long(keys)), pa.array(levels_of(n).astype(np.int32))], names=["segment", "key", "level"])
-
-    return run
+def fill(bits: np.ndarray, keys: np.ndarray, levels: np.ndarray, n_bits: int) -> None:
+    """Put each key into a segment's bits, at every level up to its own."""
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        at = bits_of(keys[levels >= q], q, n_bits).ravel()
+        np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), np.uint8(1) << (at & U(7)).astype(np.uint8))
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,70 +212,77 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in np.unique(segments):
             bits = made.setdefault(int(s), np.zeros(SEGMENT_BITS // 8, np.uint8))
             own, level = segments == s, levels[segments == s]
-            k = keys[own]
-            for q in range(1, int(level.max()) + 1):
-                at = bits_of(k[level >= q], q).ravel()
-                np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), np.uint8(1) << (at & U(7)).astype(np.uint8))
+            fill(bits, keys[own], level, SEGMENT_BITS)
     for s, bits in made.items():
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def segment_filter(keys: np.ndarray, counts: np.ndarray) -> Filter:
+    """A filter of one segment, for distinct keys and their counts."""
+    levels = levels_of(counts)
+    n_bits = 16 * SEGMENT_TOKENS
+    bits = np.zeros(n_bits // 8, np.uint8)
+    fill(bits, keys, levels, n_bits)
+    return Filter(bits, 1)
 
 
-@dataclass(frozen=True)
-class Model:
-    """A filter (a broadcast of its bytes), the words that are their own context, and the totals."""
+ANSWERS = "segment int, block long, exact binary, word_levels binary, pair_levels binary, n long, v long"
+ANSWERS_ARROW = pa.schema([("segment", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("exact", "word_levels", "pair_levels")), ("n", pa.int64()), ("v", pa.int64())])
 
-    filter: object
-    frequent: np.ndarray
-    tokens: int
-    distinct: int
-    class_share: float
+
+def _answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """A segment's answers to each block, in order of its keys; n and v, its learned tokens and words, stand in its first row."""
+    rows = asked.select(ASKED_NAMES[1:]).to_pylist()
+
+    def counted(keys: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        every = [np.cumsum(of_planes(r[keys], "<u8"), dtype=np.uint64) for r in rows]
+        distinct, place = np.unique(np.concatenate(every), return_inverse=True)
+        total = np.bincount(place, np.concatenate([of_planes(r[counts], "<u4") for r in rows]), len(distinct)).astype(np.int64)
+        return distinct, total, place, np.cumsum([len(e) for e in every])[:-1]
+
+    words, c, word_at, word_cuts = counted("words", "word_counts")
+    pairs, n, pair_at, pair_cuts = counted("pairs", "pair_counts")
+    found = segment_filter(np.concatenate([words, pairs]), np.concatenate([c, n]))
+    split = lambda x, cuts: [planes(part) for part in np.split(x, cuts)]
+    rest = [0] * (len(rows) - 1)
+    return pa.table([
+        pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(split(c[word_at].astype("<i8"), word_cuts), pa.binary()),
+        *(pa.array(split(found.levels(k).astype(np.uint8)[at], cuts), pa.binary()) for k, at, cuts in ((words, word_at, word_cuts), (pairs, pair_at, pair_cuts))),
+        pa.array([int(c.sum()), *rest], pa.int64()), pa.array([int((c > 0).sum()), *rest], pa.int64()),
+    ], schema=ANSWERS_ARROW)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model: Model):
-    total = model.tokens + model.distinct + 1
-    frequent = model.frequent
-    width, end = len(frequent) + 1, int(np.searchsorted(frequent, U(END)))
+def _score(tokens: int, distinct: int):
+    total = tokens + distinct + 1
 
-    def run(key: tuple, blocks: pa.Table, counted: pa.Table) -> pa.Table:
+    def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
+        answers = answers.sort_by("segment")
+        told = lambda name, kind, order: of_order(np.concatenate([of_planes(x, kind) for x in answers[name].to_pylist()]), order)
         for row in blocks.to_pylist():
             block = Block.of(row)
-            exact = np.zeros(len(block.keys), np.int64)
-            exact[np.searchsorted(block.keys, counted["h"].to_numpy().view(np.uint64))] = counted["c"].to_numpy()
-            probe = Filter(np.frombuffer(model.filter.value, np.uint8))
-            u = (count_of(probe.levels(mix(block.keys))) + 1) / total
-            of_key = block.context_codes(frequent)
-            classes = of_key[block.words]
-            pairs, place = np.unique(block.before(classes, end) * width + classes, return_inverse=True)
-            both = count_of(probe.levels(pair_keys(pairs // width, pairs % width)))
-            context, context_place = np.unique(pairs // width, return_inverse=True)
-            alone = count_of(probe.levels(pair_keys(context, np.full(len(context), -1))))[context_place]
-            own = classes < width - 1
-            prior = np.where(own, u[block.words], model.class_share)
-            p = (both[place] + ALPHA * prior) / (alone[place] + ALPHA)
-            p = np.where(own, p, p * u[block.words] / model.class_share)
+            order = np.argsort(mix(block.keys))
+            exact, alone = told("exact", "<i8", order), count_of(told("word_levels", "u1", order).astype(np.int64))
+            first, second, place = block.bigrams()
+            both = count_of(told("pair_levels", "u1", np.argsort(pair_keys(block.keys[first], block.keys[second]))).astype(np.int64))
+            p = (both + ALPHA * (alone[second] + 1) / total) / (alone[first] + ALPHA)
             starts = np.cumsum(block.lengths, dtype=np.int64) - block.lengths
-            sums = lambda x: np.add.reduceat(x, starts)
-            c = exact[block.words]
-            out.append(pa.table([pa.array(block.docs, mask=block.flags & 4 > 0), pa.array(block.flags & 1 > 0), block.lengths.astype(np.int64), sums((c > 0).astype(np.int64)), np.full(len(starts), model.tokens), sums(np.log10((c + 1) / total)), sums(np.log10(np.minimum(p, 1.0)))], schema=SCORED_ARROW))
+            sums = lambda x, at, kind: np.add.reduceat(x[at], starts, dtype=kind)
+            out.append(pa.table([pa.array(block.docs, mask=block.flags & 4 > 0), pa.array(block.flags & 1 > 0), block.lengths.astype(np.int64), sums(exact > 0, block.words, np.int64), np.full(len(starts), tokens), sums(np.log10((exact + 1) / total), block.words, np.float64), sums(np.log10(np.minimum(p, 1.0)), place, np.float64)], schema=SCORED_ARROW))
         return pa.concat_tables(out) if out else SCORED_ARROW.empty_table()
 
     return run
 
 
-def build_filter(words: DataFrame, pairs: DataFrame, width: int) -> object:
-    """The filter of counted words (h, c) and class pairs (code, n), as a broadcast of BITS / 8 bytes."""
-    contexts = pairs.groupBy(F.floor(F.col("code") / width).cast("long").alias("code")).agg(F.sum("n").alias("n"))
-    schema = "segment int, key long, level int"
-    entries = words.mapInArrow(_entries("word", width), schema).unionByName(pairs.mapInArrow(_entries("pair", width), schema)).unionByName(contexts.mapInArrow(_entries("context", width), schema))
-    whole = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
-    for row in entries.repartition("segment").mapInArrow(_fill, "segment int, bits binary").toLocalIterator():
-        whole[row["segment"]] |= np.frombuffer(row["bits"], np.uint8)
-    return words.sparkSession.sparkContext.broadcast(whole.tobytes())
+def of_order(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Values given in sorted order, back in their own."""
+    out = np.empty_like(x)
+    out[order] = x
+    return out
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -286,20 +292,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), use.alias("use"), F.col("text").cast("string").alias("text"))
     blocks = save(chosen.mapInArrow(_blocks, BLOCKS), scratch(spark, "lm-blocks"))
-    words_at, pairs_at = scratch(spark, "lm-words"), scratch(spark, "lm-pairs")
-    keyed = blocks.select("block", "keys", "counts")
-    words = save(keyed.mapInArrow(_word_counts(False), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), words_at)
-    release(spark)
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = totals["n"], totals["v"]
-    own = words.where(F.col("c") >= max(1.0, tokens * SHARE)).collect()  # at most 1 / SHARE rows
-    hashes = np.array(sorted({int(np.int64(r["h"]).astype(np.uint64)) for r in own} | {END}), np.uint64)
-    rest = tokens - sum(r["c"] for r in own)
-    pairs = save(blocks.mapInArrow(_pairs(hashes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), pairs_at)
-    bits = build_filter(words, pairs, len(hashes) + 1)
-    drop(spark, pairs_at)
-    del pairs
-    release(spark)  # the shuffles of the filter's entries
-    model = Model(bits, hashes, tokens, distinct, (rest + 1) / (tokens + distinct + 1))
-    counted = keyed.mapInArrow(_word_counts(True), "h long, block long").join(words, "h").select("block", "h", "c")
-    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(model), SCORED)
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    segments = max(SEGMENTS, -(-size // SEGMENT_TOKENS))
+    asked = blocks.drop("size").mapInArrow(_ask(segments), ASKED)
+    answers = save(asked.groupBy("segment").applyInArrow(_answer, ANSWERS), scratch(spark, "lm-answers"))
+    del asked
+    release(spark)  # the shuffle of the n-grams
+    totals = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    told = answers.drop("n", "v")
+    return blocks.drop("size", "counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(totals["n"], totals["v"]), SCORED)

@@ -421,6 +421,23 @@ def test_language_model_base_is_exact(docs, rows, empty):
     assert bloomlm.score_texts(empty).count() == 0
 
 
+def test_language_model_counts_bigrams_of_rare_words(spark):
+    r = random.Random(8)
+    train = [f"{a} {b}" for a, b in (r.sample([f"w{k}" for k in range(20_000)], 2) for _ in range(20_000))] + ["rare pair"] * 3 + ["rare else", "other pair"]
+    ids = iter(i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(next(ids), t) for t in train]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], "rare pair"), (held[1], "other else")]  # no word makes up a ten-thousandth of the tokens
+    got = {r["doc_id"]: r for r in bloomlm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    c = Counter(w for t in train for w in [*t.split(), None])
+    pairs = Counter(p for t in train for p in zip([None, *t.split()], [*t.split(), None], strict=True))
+    total, back = sum(c.values()) + len(c) + 1, lambda n: float(bloomlm.count_of(bloomlm.levels_of([n]))[0])
+    for i, t in rows[-2:]:
+        p = [(back(pairs[v, w]) + bloomlm.ALPHA * (back(c[w]) + 1) / total) / (back(c[v]) + bloomlm.ALPHA) for v, w in zip([None, *t.split()], [*t.split(), None], strict=True)]
+        assert got[i]["score"] == pytest.approx(sum(map(math.log10, p)), abs=1e-9)
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 1
+
+
 def test_filter_gives_levels_back():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 2**63, 4000, dtype=np.uint64)
