@@ -2,12 +2,13 @@
 
 Counts of all words and all word bigrams are gathered exactly, over all learning documents, then
 quantised: level 1 + floor(log(count) / log(BASE)). An n-gram of level q is put into the filter q times,
-as (n-gram, 1) to (n-gram, q); a probe counts up until the first miss.
+as (n-gram, 1) to (n-gram, q); a probe counts up until the first miss, or the filter's highest level.
 
 The filter lies in segments by ranges of n-gram hashes, and their number grows with the tokens. Each block
 of texts sends its distinct n-grams, with its own counts, to the segments, which add them up, are filled,
 and are probed for the same n-grams; the levels go back to the block. No task and not the driver holds
-more than a segment, or the vocabulary.
+more than a segment, or the vocabulary. A segment has ENTRY_BITS bits for each entry put into it, so the rate
+of false positives, (1 - exp(-HASHES / ENTRY_BITS)) ** HASHES = 0.5 % a probe, is the same whatever the corpus.
 
 The model: with c the counts that the filter gives back and u(w) = (c(w) + 1) / (N + V + 1),
   P(w | v) = (c(v, w) + ALPHA * u(w)) / (c(v) + ALPHA).
@@ -33,6 +34,7 @@ from .wordhash import U, mix, word_batches
 
 SEGMENTS = 256  # at least
 SEGMENT_BITS = 1 << 20  # of a filter filled by _fill
+ENTRY_BITS = 16  # bits for each (n-gram, level)
 HASHES = 3
 BASE = 1.5
 ALPHA = 50.0
@@ -47,6 +49,9 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9), 0).astype(np.int64)
 
 
+HIGHEST = int(levels_of([2**63 - 1])[0])
+
+
 def count_of(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the geometric middle of its range."""
     return np.where(levels > 1, BASE ** (levels - 0.5), np.where(levels == 1, 1.0, 0.0))
@@ -67,15 +72,15 @@ def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
 class Filter:
     """Equal segments' bits, for probing."""
 
-    def __init__(self, bits: np.ndarray, segments: int = SEGMENTS) -> None:
-        self.bits, self.segments, self.n_bits = bits, segments, len(bits) * 8 // segments
+    def __init__(self, bits: np.ndarray, segments: int = SEGMENTS, highest: int = HIGHEST) -> None:
+        self.bits, self.segments, self.n_bits, self.highest = bits, segments, len(bits) * 8 // segments, highest
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by repeated membership probes."""
         found = np.zeros(len(keys), np.int64)
         alive, level = np.arange(len(keys)), 1
         segment = segment_of(keys, self.segments).astype(np.uint64) * U(self.n_bits)
-        while len(alive):
+        while len(alive) and level <= self.highest:
             at = bits_of(keys[alive], level, self.n_bits) + segment[alive]
             hit = ((self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).all(axis=0)
             alive = alive[hit]
@@ -220,10 +225,10 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def segment_filter(keys: np.ndarray, counts: np.ndarray) -> Filter:
     """A filter of one segment, for distinct keys and their counts."""
     levels = levels_of(counts)
-    n_bits = 16 * SEGMENT_TOKENS
+    n_bits = 8 * -(-max(1, int(levels.sum())) * ENTRY_BITS // 8)
     bits = np.zeros(n_bits // 8, np.uint8)
     fill(bits, keys, levels, n_bits)
-    return Filter(bits, 1)
+    return Filter(bits, 1, int(levels.max(initial=0)))
 
 
 ANSWERS = "segment int, block long, exact binary, word_levels binary, pair_levels binary, n long, v long"

@@ -455,6 +455,21 @@ def test_filter_gives_levels_back():
     assert bloomlm.count_of(bloomlm.levels_of([0, 1, 2, 1000]))[[0, 1]].tolist() == [0, 1]
 
 
+@pytest.mark.parametrize("n", [3, 2000, 200_000])
+def test_filter_grows_with_its_entries(n):
+    rng = np.random.default_rng(6)
+    keys, counts = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), rng.integers(1, 60, n)
+    found, levels = bloomlm.segment_filter(keys, counts), bloomlm.levels_of(counts)
+    assert len(found.bits) * 8 >= bloomlm.ENTRY_BITS * levels.sum()
+    got = found.levels(keys)
+    assert (got >= levels).all() and got.max() <= levels.max()
+    assert n < 2000 or (got == levels).mean() > 0.99
+    assert n < 2000 or (found.levels(rng.integers(0, 2**63, 100_000, dtype=np.uint64)) > 0).mean() < 0.01
+    full = bloomlm.Filter(np.full(1 << 10, 255, np.uint8), 1, 5)
+    assert (full.levels(keys) == 5).all()  # a full filter ends at its highest level
+    assert bloomlm.segment_filter(keys[:0], counts[:0]).levels(keys).max() == 0
+
+
 # 10 -----------------------------------------------------------------------------------------------------
 
 
