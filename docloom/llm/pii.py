@@ -119,10 +119,6 @@ DISGUISES = re.compile(
 )
 
 
-EDGES = {ord(c): " " for c in "-,.;:!?()[]{}<>/+\"'_|"}
-HINTS = ("dot", "punto", "punkt", "(point", "[point", "[at", "(at", "{at", "<at", "( at", "[ at", "[@", "(@", "( @")
-
-
 def glyphed(text: str) -> bool:
     """Whether a text holds a character that is rewritten one for one."""
     if text.isascii():
@@ -134,49 +130,54 @@ def glyphed(text: str) -> bool:
     return any(c in text for c in NARROW)
 
 
-def disguised(low: str) -> bool:
-    """Whether a lower-cased text can hold anything that :data:`DISGUISES` would help with."""
-    if any(h in low for h in HINTS):
-        return True
-    return sum(map(low.count, SPELLED)) >= 4 and sum(map(low.translate(EDGES).split().count, SPELLED)) >= 4
-
-
 class Rewritten:
     """A rewritten text and, for each of its characters, the source span that it stands for."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
 
-    def rewrite(self, changes: list[tuple[int, int, str]]) -> None:
-        """Replace the spans ``changes`` of the present text, given in order."""
+    def rewrite(self, changes: list[tuple[int, int, str]]) -> Rewritten:
+        """Another, with the spans ``changes`` of the present text, given in order, replaced."""
         out, starts, ends, at = [], [], [], 0
         for a, b, new in [*changes, (len(self.text), len(self.text), "")]:
             out += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new) if new else self.starts[at:a]
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new) if new else self.ends[at:a]
+            starts += self.starts[at:a]
+            ends += self.ends[at:a]
+            if new:
+                starts += [self.starts[a]] * len(new)
+                ends += [self.ends[b - 1]] * len(new)
             at = b
-        self.text, self.starts, self.ends = "".join(out), starts, ends
+        made = Rewritten("".join(out))
+        made.starts, made.ends = starts, ends
+        return made
+
+
+def digit_of(word: str) -> str:
+    """A spelled digit's digit; case is ignored as :data:`DISGUISES` does it."""
+    return SPELLED.get(word.lower()) or next(d for w, d in SPELLED.items() if re.fullmatch(w, word, re.IGNORECASE))
+
 
+def rewritings(text: str) -> list[Rewritten]:
+    """The rewritten texts, fullest first: with all disguises, without spelled digits, with glyphs alone.
 
-def normalise(text: str) -> Rewritten | None:
-    """The rewritten text; None if nothing in it is rewritten."""
-    made = Rewritten(text)
+    The lesser ones keep what a number word of the prose beside it would spoil.
+    """
+    glyphs = Rewritten(text)
     if glyphed(text):
-        made.rewrite([(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)])
-    if disguised(made.text.lower()):
-        changes = []
-        for m in DISGUISES.finditer(made.text):
-            if m.lastgroup == "number":
-                # digit by digit, so that each keeps its own source span; blanks between spelled digits go
-                for w in re.finditer(rf"({NUMBER})([ \t-]*)", m[0], re.IGNORECASE):
-                    changes.append((m.start() + w.start(1), m.start() + w.end(1), SPELLED[w[1].lower()]))
-                    if w[2]:
-                        changes.append((m.start() + w.start(2), m.start() + w.end(2), ""))
-            else:
-                changes.append((*m.span(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
-        if changes:
-            made.rewrite(changes)
-    return made if made.text != text else None
+        glyphs = glyphs.rewrite([(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)])
+    marks, digits = [], []
+    for m in DISGUISES.finditer(glyphs.text):
+        if m.lastgroup == "number":
+            # digit by digit, so that each keeps its own source span; blanks between spelled digits go
+            for w in re.finditer(rf"({NUMBER})([ \t-]*)", m[0], re.IGNORECASE):
+                digits.append((m.start() + w.start(1), m.start() + w.end(1), digit_of(w[1])))
+                if w[2]:
+                    digits.append((m.start() + w.start(2), m.start() + w.end(2), ""))
+        else:
+            marks.append((*m.span(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
+    made = [glyphs.rewrite(sorted(marks + digits))] if digits else []
+    made += [glyphs.rewrite(marks)] if marks else []
+    return [x for x in [*made, glyphs] if x.text != text]
 
 
 def meets(spans: list[Span], start: int, end: int) -> bool:
@@ -187,17 +188,16 @@ def meets(spans: list[Span], start: int, end: int) -> bool:
 def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, base and added spans), each by kind in order of start."""
     base = base_spans(text)
-    made = normalise(text)
-    if made is None:
-        return base, base
-    total = {}
-    for kind, spans in base_spans(made.text).items():
-        more = []
-        for a, b in spans:
-            start, end = made.starts[a], made.ends[b - 1]
-            if text[start:end] != made.text[a:b] and not meets(base[kind], start, end):
-                more.append((start, end))
-        total[kind] = sorted(base[kind] + more)
+    total = base
+    for made in rewritings(text):
+        more = {}
+        for kind, spans in base_spans(made.text).items():
+            more[kind] = []
+            for a, b in spans:
+                start, end = made.starts[a], made.ends[b - 1]
+                if text[start:end] != made.text[a:b] and not meets(total[kind], start, end):
+                    more[kind].append((start, end))
+        total = {kind: sorted(total[kind] + more[kind]) for kind in KINDS}
     return base, total
 
 

@@ -292,6 +292,23 @@ def test_disguises_map_back(text, kind, span):
     assert span not in pii.redact(text) and f"<{kind.upper()}>" in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("call plus 49 30 1234567", "phone", "plus 49 30 1234567"),
+        *((f"ask {x} now", "email", x) for x in ("bob { at } example.com", "bob < at > example.com", "bob [ @ ] example.com", "bob (\tat ) example.com", "bob <  @> example.com")),
+        *((f"host {x} up", "ip", x) for x in (f"10{o}{w}{s}0{o}{w}{s}0{o}{w}{s}7" for w in ("dot", "punto", "punkt", "point") for o, s in (("{", "}"), ("< ", " >"), ("[\t", "]"), (" (  ", ") ")))),
+        ("host 192.168.0.seven up", "ip", "192.168.0.seven"),
+        ("fax +1 415 555 one two", "phone", "+1 415 555 one two"),
+        ("fax +1 415 555 1 \u017fIX", "phone", "+1 415 555 1 \u017fIX"),
+        ("pay \uff14111 1111 1111 1111 one by one", "card", "\uff14111 1111 1111 1111"),
+        ("pay 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+    ],
+)
+def test_each_disguise_alone(text, kind, span):
+    assert [text[a:b] for a, b in pii.all_spans(text)[1][kind]] == [span]
+
+
 @pytest.mark.parametrize("text", ["", "look at the dot in one two three", "we met at noon", "zero one two three four five six seven", "naïve café à 3 euros", "version 1.2.3"])
 def test_clean_text_is_left_alone(text):
     assert not any(pii.all_spans(text)[1].values()) and pii.redact(text) == text
