@@ -90,8 +90,16 @@ LOOK_ALIKES = {
     for c in others
 }
 GONE = "­​‌‍⁠﻿"
-SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
-NUMBER = "|".join(SPELLED)
+# English, German, French and Spanish; "ein", "une" and "una" are left out, as they are not said of digits.
+SPELLED = {
+    w: str(i)
+    for words in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "null eins zwo drei vier fuenf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for i, w in enumerate(words.split())
+}
+NUMBER = "|".join(f"{c}(?:{'|'.join(w[1:] for w in SPELLED if w[0] == c)})" for c in dict.fromkeys(w[0] for w in SPELLED))
 
 
 def one_for_one() -> dict[str, str]:
@@ -110,8 +118,17 @@ OPEN, SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 DOT = rf"(?:{OPEN}(?:dot|punto|punkt|point){SHUT}|[ \t]+dot[ \t]+)"
 # Last labels after which a plain "at ... dot" counts as an address.
 DOMAINS = "com|org|net|edu|gov|mil|info|biz|dev|app|io|co|ai|eu|uk|de|fr|es|nl|ch|pl|pt|ru|se|ca|au|jp|cn|br|mx"
+COUNTRIES = (
+    "ac|ad|ae|af|ag|al|am|ao|aq|ar|as|at|aw|ax|az|ba|bb|bd|be|bf|bg|bh|bi|bj|bm|bn|bo|bs|bt|bw|by|bz|cc|cd|cf|cg|ci|ck|cl|cm|cr|cu|cv|cw|cx|cy|cz|dj|dk|dm|do|dz|ec|ee|eg|er|et"
+    "|fi|fj|fk|fm|fo|ga|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gs|gt|gu|gw|gy|hk|hm|hn|hr|ht|hu|id|ie|il|im|in|iq|ir|is|it|je|jm|jo|ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly"
+    "|ma|mc|md|me|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|my|mz|na|nc|ne|nf|ng|ni|no|np|nr|nu|nz|om|pa|pe|pf|pg|ph|pk|pm|pn|pr|ps|pw|py|qa|re|ro|rs|rw|sa|sb|sc|sd|sg|sh|si|sk|sl|sm|sn|so|sr|ss|st|sv|sx|sy|sz"
+    "|tc|td|tf|tg|th|tj|tk|tl|tm|tn|to|tr|tt|tv|tw|tz|ua|ug|us|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw"
+)
+# Before "dot in" and the like these are prose ("look at the dot in"), no hosts.
+ARTICLES = "a|an|the|this|that|each|every|any|some|one|no|its|his|her|their|my|our|your|which|what"
+HOSTS = rf"[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}"
 DISGUISES = re.compile(
-    rf"(?P<at>{OPEN}(?:at|@){SHUT}(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9_])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}(?:{DOMAINS})\b))"
+    rf"(?P<at>{OPEN}(?:at|@){SHUT}(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9_])[ \t]+at[ \t]+(?={HOSTS}(?:{DOMAINS})\b|(?!(?:{ARTICLES})[ \t]){HOSTS}(?:{COUNTRIES})\b))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus[ \t]+(?=[0-9]|(?:{NUMBER})\b))"
     rf"|(?P<number>\b(?:{NUMBER})(?:[ \t-]+(?:{NUMBER}))*\b)",
@@ -169,7 +186,7 @@ def rewritings(text: str) -> list[Rewritten]:
     for m in DISGUISES.finditer(glyphs.text):
         if m.lastgroup == "number":
             # digit by digit, so that each keeps its own source span; blanks between spelled digits go
-            for w in re.finditer(rf"({NUMBER})([ \t-]*)", m[0], re.IGNORECASE):
+            for w in re.finditer(rf"({NUMBER})\b([ \t-]*)", m[0], re.IGNORECASE):
                 digits.append((m.start() + w.start(1), m.start() + w.end(1), digit_of(w[1])))
                 if w[2]:
                     digits.append((m.start() + w.start(2), m.start() + w.end(2), ""))

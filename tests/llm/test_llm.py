@@ -309,6 +309,20 @@ def test_each_disguise_alone(text, kind, span):
     assert [text[a:b] for a, b in pii.all_spans(text)[1][kind]] == [span]
 
 
+@pytest.mark.parametrize("label", ["it", "in", "kr", "me", "za", "ie"])
+def test_country_labels(label):
+    text = f"ask jane at example dot {label}, please"
+    assert [text[a:b] for a, b in pii.all_spans(text)[1]["email"]] == [f"jane at example dot {label}"]
+    assert not any(pii.all_spans(f"look at the dot {label} or at every dot {label}")[1].values())
+
+
+@pytest.mark.parametrize("words", ["null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"])
+def test_digits_of_other_languages(words):
+    text = f"tel. plus {words}."
+    assert [text[a:b] for a, b in pii.all_spans(text)[1]["phone"]] == [f"plus {words}"]
+    assert [pii.digit_of(w) for w in words.upper().split()] == list("0123456789")
+
+
 @pytest.mark.parametrize("text", ["", "look at the dot in one two three", "we met at noon", "zero one two three four five six seven", "naïve café à 3 euros", "version 1.2.3"])
 def test_clean_text_is_left_alone(text):
     assert not any(pii.all_spans(text)[1].values()) and pii.redact(text) == text
