@@ -2,14 +2,15 @@
 
 An operation applies if it or what is stored has no version, or if the stored version is not larger; an
 unversioned one stores no version. Taken in order of ``seq``, what remains of a key is: the last unversioned
-operation, or the one of largest (version, seq) among those after it. That closed form is one
-aggregation with map-side combine, whatever the order in which operations arrive. A delete that
-wins stays as a tombstone, as an operation of the next merge.
+operation, or the one of largest (version, seq) among those after it. That closed form takes one shuffle by
+key, whatever the order in which operations arrive: two windows over one partitioning, or, where every operation
+has a version, a rank whose losers already go before the shuffle. A delete that wins stays as a tombstone, as an
+operation of the next merge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.templates import matches
@@ -17,35 +18,24 @@ from docloom.functions.templates import matches
 KEY = ["index", "id", "routing"]
 
 
+def latest(ops: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """The last operation of each key in an order; a rank limit, so losers go before the shuffle."""
+    last = Window.partitionBy(*key).orderBy(*(c.desc() for c in order))
+    return ops.withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") == 1).drop("_rank")
+
+
 def winners(ops: DataFrame, key: list[str] | None = None) -> DataFrame:
     """The operation that remains of each key, tombstones included."""
     key = key or KEY
-    rest = [c for c in ops.columns if c not in key]
-    row = F.struct(*rest)
-    versioned = F.col("version").isNotNull()
-    # the last unversioned operation of each key; without any this side is empty and cheap
-    floors = ops.where(~versioned).groupBy(*key).agg(F.max("seq").alias("_floor"))
-    joined = ops.alias("o").join(floors.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), "_floor"), _same(key), "left")
-    alive = joined.where(F.col("_floor").isNull() | (F.col("seq") >= F.col("_floor")))
-    order = F.struct(F.coalesce("version", F.lit(-1).cast("bigint")), "seq")
-    best = alive.groupBy(*key).agg(F.max_by(row, order).alias("_w"))
-    return best.select(*key, *(F.col(f"_w.{c}").alias(c) for c in rest))
-
-
-def _same(key: list[str]):
-    out = None
-    for i, k in enumerate(key):
-        term = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        out = term if out is None else out & term
-    return out
+    # the last unversioned operation: what came before it no longer counts
+    floor = F.max(F.when(F.col("version").isNull(), F.col("seq"))).over(Window.partitionBy(*key))
+    alive = ops.withColumn("_floor", floor).where(F.col("_floor").isNull() | (F.col("seq") >= F.col("_floor"))).drop("_floor")
+    return latest(alive, key, F.coalesce("version", F.lit(-1).cast("bigint")), F.col("seq"))
 
 
 def versioned_winners(ops: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """As :func:`winners` where every operation has a version: one aggregation."""
-    key = key or KEY
-    rest = [c for c in ops.columns if c not in key]
-    best = ops.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("version", "seq")).alias("_w"))
-    return best.select(*key, *(F.col(f"_w.{c}").alias(c) for c in rest))
+    """As :func:`winners` where every operation has a version."""
+    return latest(ops, key or KEY, F.col("version"), F.col("seq"))
 
 
 def merge(stored: DataFrame, ops: DataFrame, profile: str = "versioned") -> DataFrame:
@@ -58,8 +48,7 @@ def merge(stored: DataFrame, ops: DataFrame, profile: str = "versioned") -> Data
     both = old.unionByName(ops.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     both = both.withColumn("seq", F.struct("_new", "seq"))
     if profile == "last_write":
-        rest = [c for c in both.columns if c not in KEY]
-        best = both.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "seq").alias("_w")).select(*KEY, *(F.col(f"_w.{c}").alias(c) for c in rest))
+        best = latest(both, KEY, F.col("seq"))
     else:
         best = winners(both)
     return best.withColumn("seq", F.col("seq.seq")).drop("_new")

@@ -64,19 +64,14 @@ def join_field(name: str, parent_id: Column | None = None) -> Column:
     return F.struct(F.lit(name).alias("name"), (F.lit(None).cast("string") if parent_id is None else parent_id).alias("parent"))
 
 
-def transform(df: DataFrame, rules: dict[str, Transform], schema: str, table: str, shaped: Column | None = None) -> DataFrame:
-    """Columns transformed; ``_unconverted`` lists those whose value could not be converted.
-
-    ``shaped`` is an array of columns that came from a stored document, in which they are transformed already.
-    """
+def transform(df: DataFrame, rules: dict[str, Transform], schema: str, table: str) -> DataFrame:
+    """Columns transformed; ``_unconverted`` lists those whose value could not be converted."""
     made, failed = {}, []
     for name, rule in rules.items():
-        if name not in df.columns:
-            continue
-        out = rule.apply(F.col(q(name)), df.schema[name].dataType, f"{schema}.{table}.{name}")
-        skip = F.lit(False) if shaped is None else F.array_contains(shaped, name)
-        made[name] = out.value if shaped is None else F.when(skip, F.col(q(name)).cast("string")).otherwise(out.value)
-        failed.append(F.when(out.unconverted & ~skip, F.lit(name)))
+        if name in df.columns:
+            out = rule.apply(F.col(q(name)), df.schema[name].dataType, f"{schema}.{table}.{name}")
+            made[name] = out.value
+            failed.append(F.when(out.unconverted, F.lit(name)))
     found = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     return df.withColumns({"_unconverted": found, **made})
 

@@ -9,11 +9,12 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.predicate import Predicate, PredicateError
-from docloom.functions.scalars import content_id
-from docloom.functions.templates import INDEX_NAME, Template, TemplateError, index_name, key_id
-from docloom.functions.transforms import Transform, java_pattern
+from docloom.functions.scalars import content_id, json_number
+from docloom.functions.templates import INDEX_NAME, Template, TemplateError, index_name, key_id, matches
+from docloom.functions.transforms import Transform, java_pattern, quoted
 from docloom.operators import children as related
 from docloom.operators import shape
 
@@ -61,6 +62,7 @@ class JoinRule:
     name: str
     field: str = "join"
     parent_key: str | None = None  # set on children: the column that names the parent
+    parent_id: str | None = None  # the parent's id as a template over that column; set by :func:`from_toml`
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,22 @@ class View:
             return Template.parse(self.id).render()
         return key_id(self.key) if self.key else None
 
+    def image_id(self, image: str, schema: T.StructType) -> Column:
+        """The id of a row image (a struct column); null where the image doesn't tell it."""
+        if self.id:
+            return Template.parse(self.id).maybe(schema, f"{image}.")
+        return F.when(F.col(image).isNotNull(), key_id(self.key, f"{image}.")) if set(self.key) <= set(schema.names) else F.lit(None).cast("string")
+
+    def image_index(self, image: str, schema: T.StructType) -> Column:
+        template = Template.parse(self.index)
+        return template.maybe(schema, f"{image}.") if template.columns else F.lit(self.index)
+
+    def image_routing(self, image: str, schema: T.StructType) -> Column:
+        """The routing of a row image: its routing column, or its parent's id."""
+        if self.join and self.join.parent_key:
+            return Template.parse(self.join.parent_id or f"{{{self.join.parent_key}}}").maybe(schema, f"{image}.")
+        return Template.parse(f"{{{self.routing}}}").maybe(schema, f"{image}.") if self.routing else F.lit(None).cast("string")
+
 
 def from_toml(text: str) -> list[View]:
     """The views of a configuration: ``[[sync.tables]]`` entries."""
@@ -108,7 +126,20 @@ def from_toml(text: str) -> list[View]:
             e["join"] = JoinRule(**e["join"])
         views.append(View(**e))
     check(views)
-    return views
+    return [related_ids(v, views) for v in views]
+
+
+def parent_of(view: View, views: list[View]) -> View | None:
+    """The view whose documents are the parents of a join's children: the one of that index without a parent key."""
+    return next((v for v in views if v.join and not v.join.parent_key and v.index == view.index and v.join.field == view.join.field), None)
+
+
+def related_ids(view: View, views: list[View]) -> View:
+    """A join's child with its parent's id written by the parent's own rule, over the foreign key."""
+    if not view.join or not view.join.parent_key or not (parent := parent_of(view, views)):
+        return view
+    rule = (parent.id or f"{{{parent.key[0]}}}").replace(f"{{{parent.key[0]}}}", f"{{{view.join.parent_key}}}")
+    return replace(view, join=replace(view.join, parent_id=rule))
 
 
 def check(views: list[View]) -> None:
@@ -182,8 +213,18 @@ def check(views: list[View]) -> None:
         for c in v.counts:
             if c.op != "count":
                 say(f"{c.field}: only count is supported")
-        if v.children and not v.key:
-            say("collections need a key")
+        if (v.children or v.counts) and len(v.key) != 1:
+            say("collections and counts need a key of one column")
+        if v.join and not v.join.parent_key and len(v.key) != 1:
+            say("a join's parents need a key of one column")
+        if v.append_only and v.key:
+            say("append_only is for tables without a key")
+        if v.join and v.join.parent_key:
+            parent = parent_of(v, views)
+            if parent is None:
+                say("no parents in this index")
+            elif parent.id and not Template.parse(parent.id).only_of(parent.key):
+                say("the parents' id needs more than their key")
         if v.append_only and (v.id or v.children or v.fan_out):
             say("append_only goes with neither id, children nor fan_out")
         if not v.key and not v.id and not v.append_only:
@@ -195,6 +236,14 @@ def check(views: list[View]) -> None:
     shared: dict[str, list[View]] = {}
     for v in views:
         shared.setdefault(v.index, []).append(v)
+    for index in shared:
+        try:
+            template = Template.parse(index) if index else None
+        except TemplateError:
+            continue
+        for other in shared:
+            if template and template.columns and other != index and other and matches(template.pattern(), other):
+                faults.append(f"{index} and {other}: one may name the other's index")
     for index, group in shared.items():
         if len(group) > 1 and not all(v.id or v.join for v in group):
             faults.append(f"{index}: tables that share an index need an explicit id or a join")
@@ -204,35 +253,59 @@ def check(views: list[View]) -> None:
         raise ConfigError("; ".join(faults))
 
 
-def documents(view: View, tables: dict[str, DataFrame], rows: DataFrame | None = None, filtered: bool = True) -> DataFrame:
-    """The view's documents over a snapshot (or over ``rows``): _index, _id, _routing, the document's fields, _unconverted."""
+def place(view: View, df: DataFrame, raw: T.StructType, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``_index``, ``_id``, ``_routing`` and ``_join`` from their raw values, and fanned out."""
+    meta = {"_index": index_name(view.index), "_pipeline": F.lit(view.pipeline).cast("string")}
+    id = view.doc_id()
+    id = content_id(raw) if id is None else id
+    meta["_routing"] = F.lit(None).cast("string")
+    if view.join and view.join.parent_key:
+        parent = Template.parse(view.join.parent_id or f"{{{view.join.parent_key}}}").render(what="the parent's id")
+        meta |= {"_routing": parent, "_join": shape.join_field(view.join.name, parent)}
+    elif view.join:
+        meta["_join"] = shape.join_field(view.join.name)
+    if view.routing:
+        meta["_routing"] = shape.routing(view.routing)
+    if not view.fan_out:
+        return df.withColumns(meta | {"_id": id})
+    return shape.fan_out(df.withColumns(meta), view.fan_out.field, Template.parse(view.fan_out.id), id, view.fan_out.by)
+
+
+def documents(view: View, tables: dict[str, DataFrame], rows: DataFrame | None = None, filtered: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The view's documents over a snapshot, or over ``rows`` of it: _index, _id, _routing, _pipeline, the document's fields, _unconverted, _absent.
+
+    ``_absent`` names the fields that a document lacks, which are null here. The columns ``carry`` of ``rows`` are no part of
+    the document and stay as they are.
+    """
     df = tables[view.table] if rows is None else rows
-    if view.where and filtered:
+    if filtered and view.soft_delete:
+        df = df.where(~F.coalesce(F.expr(view.soft_delete), F.lit(False)))
+    if filtered and view.where:
         predicate = Predicate(view.where)
         predicate.check(df.schema)
         df = df.where(predicate.column(df.schema))
-    raw = df.schema
-    id = view.doc_id()
-    meta = {"_index": index_name(view.index), "_id": content_id(raw) if id is None else id}
-    meta["_routing"] = shape.routing(view.routing or view.join.parent_key) if view.routing or (view.join and view.join.parent_key) else F.lit(None).cast("string")
-    if view.join:
-        meta["_join"] = shape.join_field(view.join.name, F.col(view.join.parent_key).cast("string") if view.join.parent_key else None)
-    for c in view.children:
-        through = related.Through(tables[c.through_table], c.through_parent_key, c.through_child_key) if c.through_table else None
-        df = related.attach(df, view.key[0], related.Child(c.field, tables[c.table], c.key, c.order, c.columns, c.exclude, c.where, c.max_rows, c.single, through))
-    for c in view.counts:
-        df = related.attach_count(df, view.key[0], c.field, tables[c.table], c.key, c.where)
-    df = df.withColumns(meta)
-    if view.fan_out:
-        df = shape.fan_out(df.drop("_id"), view.fan_out.field, Template.parse(view.fan_out.id), id if id is not None else content_id(raw), view.fan_out.by)
+    raw = T.StructType([f for f in df.schema.fields if f.name not in carry])
+    if view.children or view.counts:
+        if len(view.key) != 1:
+            raise ConfigError(f"{view.table}: collections and counts need a key of one column")
+        through = lambda c: related.Through(tables[c.through_table], c.through_parent_key, c.through_child_key) if c.through_table else None
+        children = [related.Child(c.field, tables[c.table], c.key, c.order, c.columns, c.exclude, c.where, c.max_rows, c.single, through(c)) for c in view.children]
+        counts = [related.Count(c.field, tables[c.table], c.key, c.where) for c in view.counts]
+        part = rows is not None or (filtered and bool(view.where or view.soft_delete))
+        df = related.attach_all(df, view.key[0], children, counts, restrict=part)
+    df = place(view, df, raw, carry)
+    meta = [c for c in ("_index", "_id", "_routing", "_pipeline", "_join") if c in df.columns]
     extra = [n for c in view.children for n in (c.field, f"{c.field}_truncated", f"{c.field}_total")] + [c.field for c in view.counts]
-    keep = (*meta, *extra)
-    df = shape.project(df, view.columns, view.exclude, keep)
+    df = shape.project(df, view.columns, view.exclude, (*meta, *extra, *carry))
     df = shape.transform(df, view.transform, view.schema, view.table)
     for c in view.children:
         if c.rename:
             df = shape.rename_nested(df, c.field, c.rename)
     df = shape.rename(df, view.rename)
+    absent = [F.when(F.col(f"`{c.field}_total`").isNull(), F.array(F.lit(f"{c.field}_truncated"), F.lit(f"{c.field}_total"))) for c in view.children if c.max_rows is not None]
+    absent += [F.when(F.col(f"`{c.field}`").isNull(), F.array(*map(F.lit, df.schema[c.field].dataType.names))) for c in view.children if c.flatten]
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_absent", F.flatten(F.array(*(F.coalesce(a, none) for a in absent))) if absent else none)
     for c in view.children:
         if c.flatten:
             df = shape.flatten(df, c.field)
@@ -240,11 +313,40 @@ def documents(view: View, tables: dict[str, DataFrame], rows: DataFrame | None =
     return df.withColumnRenamed("_join", view.join.field) if view.join else df
 
 
-def as_json(docs: DataFrame) -> DataFrame:
-    """_index, _id, _routing and the document as JSON with sorted keys; here, and only here, nulls of structs become absent."""
-    meta = ["_index", "_id", "_routing"]
-    fields = sorted(c for c in docs.columns if not c.startswith("_"))
-    return docs.select(*meta, F.to_json(F.struct(*(F.col(f"`{c}`") for c in fields))).alias("json"))
+def json_value(value: Column, kind: T.DataType) -> Column:
+    """A value as a document's JSON holds it: decimals are text, bytes base64, a float that is no finite number fails the query."""
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(F.lit(f'"{f.name}":'), F.coalesce(json_value(value[f.name], f.dataType), F.lit("null"))) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: F.coalesce(json_value(x, kind.elementType), F.lit("null")))
+        return F.when(value.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(quoted(k.cast("string")), F.lit(":"), F.coalesce(json_value(value[k], kind.valueType), F.lit("null"))))
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    if isinstance(kind, T.BinaryType):
+        return quoted(F.base64(value))
+    if isinstance(kind, (T.BooleanType, T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType):
+        return json_number(value, kind).cast("string")
+    return F.when(value.isNotNull(), quoted(value.cast("string")))
+
+
+def as_json(docs: DataFrame, view: View | None = None) -> DataFrame:
+    """_index, _id, _routing and the document as JSON with sorted keys: nulls are shown, and what ``_absent`` names is left out.
+
+    With ``view``, a join's parent has its bare name in the join field.
+    """
+    fields = []
+    for f in sorted((f for f in docs.schema.fields if not f.name.startswith("_")), key=lambda f: f.name):
+        value = F.col(f"`{f.name}`")
+        text = F.coalesce(json_value(value, f.dataType), F.lit("null"))
+        if view and view.join and not view.join.parent_key and f.name == view.join.field:
+            text = quoted(value["name"])
+        text = F.concat(F.lit(f'"{f.name}":'), text)
+        fields.append(F.when(~F.array_contains("_absent", f.name), text) if "_absent" in docs.columns else text)
+    return docs.select("_index", "_id", "_routing", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("json"))
 
 
 def with_index(view: View, index: str) -> View:

@@ -6,22 +6,27 @@ Arrays are shown as joined text, sums are rounded; nothing else is done for the
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import scalars
 from docloom.functions.predicate import Predicate
-from docloom.functions.templates import Template, index_name, key_id, matches
+from docloom.functions.templates import Template, first_rendered, index_name, key_id, matches
 from docloom.functions.transforms import Transform, iso_date
 from docloom.operators import changes as ch
 from docloom.operators import children as rel
 from docloom.operators import merge, shape
-from docloom.operators.targets import point_id
+from docloom.operators.store import Store, point_id
 from docloom.plans import admin
-from docloom.plans.config import ChildRule, CountRule, View, documents
+from docloom.plans.changes import ChangePlan, document_type
+from docloom.plans.config import ChildRule, CountRule, JoinRule, View, as_json, documents, from_toml, related_ids, with_index
 from docloom.sources import readers
+from docloom.sources.changelog import log_rows
+from docloom.streaming import apply
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +56,16 @@ def joined(items: Column, *fields: str) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat_ws(":", *(x[f].cast("string") for f in fields))), "|")
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share; a folder of this machine only in local mode."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = f"file://{tempfile.gettempdir()}"
+    return f"{named.rstrip('/')}/docloom-{name}-{os.urandom(8).hex()}"
+
+
 # -- the flagship: customers with capped orders, a count, a filter and a hidden column -------------------
 
 
@@ -126,10 +141,10 @@ def composite_pk_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(key_id(["l_orderkey", "l_linenumber"]).alias("id")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)) AS ids FROM events")
+@query("""SELECT substr(sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 1, 32) AS id, count(*) AS n FROM events GROUP BY 1""")
 def content_id_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("user_id", "event_type")
-    return df.select(scalars.content_id(df.schema).alias("id")).agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("ids"))
+    return df.groupBy(scalars.content_id(df.schema).alias("id")).agg(F.count("*").alias("n"))
 
 
 # -- predicates ------------------------------------------------------------------------------------------
@@ -216,10 +231,11 @@ def xf_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transformed(df, "d", Transform("date", from_="%d/%m/%Y")).select("o_orderkey", "d", iso_date(F.col("z"), "%d.%m.%Y %H:%M:%S %z").alias("z"))
 
 
-@query()
+# Tokens of the regions' names under the example key.
+@query("""SELECT r_regionkey, t AS r_name FROM region JOIN (VALUES ('AFRICA', '6k-RJlsCzdEzGlxorcfX16T8e_j2dQ'), ('AMERICA', 'i6BnxMQtASl4jiPOVZvSlfyQKpK_Cy0'), ('ASIA', 'XTlLMaerGQ-6ZOnVgOKWBs5aMRQ'), ('EUROPE', 'xumzgWTxFM9PGyX2D29-PfL2gTIq1w'), ('MIDDLE EAST', 'KXWQp315amfQT5oZf6if7VVgV6MCLz1g4Rem')) AS k(n, t) ON n = r_name""")
 def xf_pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
     os.environ.setdefault("DOCLOOM_EXAMPLE_KEY", bytes(range(64)).hex())
-    return transformed(table(spark, sf_dir, "customer"), "c_name", Transform("pseudonym", key_env="DOCLOOM_EXAMPLE_KEY", scope="public.customer.c_name")).select("c_custkey", "c_name")
+    return transformed(table(spark, sf_dir, "region"), "r_name", Transform("pseudonym", key_env="DOCLOOM_EXAMPLE_KEY", scope="public.region.r_name")).select("r_regionkey", "r_name")
 
 
 # -- related rows ----------------------------------------------------------------------------------------
@@ -295,14 +311,23 @@ def truncated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.collection_report(rel.Child("orders", table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], max_rows=15))
 
 
-@query("SELECT DISTINCT c_custkey, c_name FROM customer JOIN (SELECT o_custkey k FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT o_custkey + 1 FROM orders WHERE o_orderkey % 50 = 0) ON k = c_custkey WHERE c_custkey % 10 <> 0")
+@query("SELECT DISTINCT c_custkey, c_name FROM customer JOIN (SELECT o_custkey k FROM orders UNION SELECT o_custkey + 1 FROM orders) ON k = c_custkey WHERE c_acctbal >= 0")
 def affected_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").withColumn("old_custkey", F.col("o_custkey") + 1)
+    """Every order moved to its customer from the next one; customers in debt changed themselves."""
+    changed = table(spark, sf_dir, "orders").withColumn("old_custkey", F.col("o_custkey") + 1)
     customers = table(spark, sf_dir, "customer")
-    present = customers.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("key"))
+    present = customers.where("c_acctbal < 0").select(F.col("c_custkey").alias("key"))
     return rel.refetch(customers, "c_custkey", rel.affected(changed, "o_custkey", "old_custkey", present=present)).select("c_custkey", "c_name")
 
 
+@query("SELECT DISTINCT l_partkey AS p_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0")
+def affected_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that suppliers in debt supply: changed children named by a junction."""
+    junction = rel.Through(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    changed = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
+    return rel.affected(changed, "s_suppkey", through=junction).select(F.col("key").alias("p_partkey"))
+
+
 # -- fan-out ---------------------------------------------------------------------------------------------
 
 
@@ -446,10 +471,10 @@ def join_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.relation(parents, children, "shop").select("id", "j.name", "j.parent")
 
 
-@query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_custkey % 7 = 0 AND o_orderkey <= 5000")
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 AND o_orderkey <= 5000")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "orders").select(F.lit("shop").alias("index"), key_id(["o_orderkey"]).alias("id"), F.col("o_custkey").cast("string").alias("routing"), F.lit("upsert").alias("action"), F.col("o_custkey").cast("string").alias("parent_id"), F.col("o_orderkey").alias("version"))
-    gone = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.lit("shop").alias("index"), key_id(["c_custkey"]).alias("id"), F.lit(5000).alias("version"))
+    gone = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("shop").alias("index"), key_id(["c_custkey"]).alias("id"), F.lit(5000).alias("version"))
     return merge.cascade(stored, gone).select("id")
 
 
@@ -486,20 +511,21 @@ def range_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT true AS even, count(*) AS parts FROM orders")
+@query("WITH b AS (SELECT unnest(quantile_disc(o_orderkey, [0.25, 0.5, 0.75])) AS b FROM orders) SELECT (SELECT count(*) FROM b WHERE b <= o_orderkey)::INT AS part, count(*) AS n FROM orders GROUP BY 1")
 def sampled_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     ranges = readers.ranges_of(readers.bounds(df, "o_orderkey", 4, share=1.0))
     part = F.coalesce(*(F.when(readers.in_range("o_orderkey", a, b), i) for i, (a, b) in enumerate(ranges)))
-    counts = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    return counts.agg((F.max("n") <= 2 * F.min("n")).alias("even"), F.sum("n").alias("parts"))
+    return df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'n_comment' AS column_name, 'added' AS drift UNION ALL SELECT 'n_name', 'removed' UNION ALL SELECT 'n_regionkey', 'retyped'")
+@query("""
+    WITH a AS (SELECT substr(column_name, 3) AS n, column_type AS t FROM (DESCRIBE customer)), b AS (SELECT substr(column_name, 3) AS n, column_type AS t FROM (DESCRIBE part))
+    SELECT n AS column_name, CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' ELSE 'retyped' END AS drift FROM a FULL JOIN b USING (n) WHERE a.t IS DISTINCT FROM b.t""")
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation")
-    new = df.select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("n_regionkey"), F.lit("").alias("n_comment"))
-    return spark.createDataFrame(readers.schema_drift(df.schema, new.schema), "column_name string, drift string")
+    """What would change if customers' rows became parts'."""
+    bare = lambda t: T.StructType([T.StructField(f.name[2:], f.dataType) for f in table(spark, sf_dir, t).schema.fields])
+    return spark.createDataFrame(readers.schema_drift(bare("customer"), bare("part")), "column_name string, drift string")
 
 
 @query("SELECT event_id, upper(printf('%x', event_id * 1234567 // 4294967296)) || '/' || upper(printf('%x', event_id * 1234567 % 4294967296)) AS text, event_id * 1234567 AS back FROM events")
@@ -515,13 +541,24 @@ def binlog_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH i AS (SELECT o_orderstatus AS uuid, o_orderkey AS first, o_orderkey + 2 AS last FROM orders WHERE o_orderkey % 3 <> 0),
+    WITH i AS (SELECT o_orderstatus AS uuid, o_orderkey AS first, o_orderkey + o_custkey % 3 AS last FROM orders),
     m AS (SELECT *, max(last) OVER (PARTITION BY uuid ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
     g AS (SELECT *, sum((reach IS NULL OR first > reach + 1)::INT) OVER (PARTITION BY uuid ORDER BY first, last) AS g FROM m)
     SELECT uuid, min(first) AS first, max(last) AS last FROM g GROUP BY uuid, g""")
 def gtid_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderstatus").alias("uuid"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + 2).alias("last"))
-    return readers.coalesced_intervals(rows)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("uuid"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + F.col("o_custkey") % 3).alias("last"))
+    return readers.coalesced_intervals(rows, block=64)
+
+
+@query("""
+    WITH g AS (SELECT o_orderstatus AS uuid, o_orderkey AS k, o_orderkey - row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS g FROM orders),
+    i AS (SELECT uuid, min(k) AS a, max(k) AS b FROM g GROUP BY uuid, g)
+    SELECT uuid, uuid || ':' || string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ':' ORDER BY a) AS text FROM i GROUP BY 1""")
+def gtid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets as text, parsed into intervals, coalesced and written again."""
+    text = F.concat("o_orderstatus", F.lit(":"), F.col("o_orderkey").cast("string"), F.lit(", "), "o_orderstatus", F.lit(":"), F.col("o_orderkey").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.explode(readers.interval_set(text)).alias("i")).select("i.*")
+    return readers.interval_texts(rows)
 
 
 @query("SELECT c_custkey, ['a', 'b', 'c'][c_custkey % 3 + 1] AS label, array_to_string(list_filter(['a', 'b', 'c'], lambda x, i: (c_custkey >> (i - 1)) % 2 = 1), '|') AS labels FROM customer")
@@ -533,6 +570,19 @@ def enum_set_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- targets and administration --------------------------------------------------------------------------
 
 
+@query("SELECT vec_id, label, CASE WHEN vec_id % 9 = 0 THEN 'vector of 64 expected, found 10' END AS reject, vec_id % 9 <> 0 AS stored FROM embeddings")
+def quarantine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a wrong size are put aside with their reason, within a budget, and all others are stored; the batch comes twice."""
+    e = F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
+    rows = shape.vector_document(table(spark, sf_dir, "embeddings").withColumn("embedding", e), "embedding", 64)
+    made = rows.select(F.lit("vectors").alias("index"), key_id(["vec_id"]).alias("id"), F.lit(None).cast("string").alias("routing"), F.lit("upsert").alias("action"), F.struct("vec_id", "label").alias("doc"), F.lit(1).cast("long").alias("version"), F.col("vec_id").alias("seq"), F.col("_reject").alias("reject"))
+    store = Store(spark, work_dir(spark, "rejects"), made.schema["doc"].dataType, buckets=4)
+    for _ in range(2):
+        store.apply(made, max_rejects=made.count())
+    kept = store.documents().select("doc.*", F.lit(None).cast("string").alias("reject"), F.lit(True).alias("stored"))
+    return kept.unionByName(store.rejected().select("doc.*", "reject", F.lit(False).alias("stored")))
+
+
 @query("SELECT vec_id, CASE WHEN len(e) <> 64 THEN 'vector of 64 expected, found ' || len(e) END AS reject FROM (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN embedding[:10] ELSE embedding END AS e FROM embeddings)")
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
@@ -545,41 +595,258 @@ def vector_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("_reject IS NULL").select("vec_id", "label", F.size("embedding").alias("size"))
 
 
-@query()
+@query("""
+    SELECT n_nationkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(printf('%02x', (('0x' || h[17:18])::INT & 63) | 128)) || h[19:20] || '-' || h[21:32] AS point
+    FROM (SELECT n_nationkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || n_name::BLOB) AS h FROM nation)""")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", point_id("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("n_name")).alias("point"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 4 = 0")
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus = 'P' OR o_totalprice < 50000")
 def reconcile_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
-    live = keeps(df.where("o_orderkey % 4 <> 0"), "o_orderstatus <> 'P'")
+    live = keeps(df.where("o_totalprice >= 50000"), "o_orderstatus <> 'P'")
     return admin.orphans(df.select(key_id(["o_orderkey"]).alias("id")), live.select(key_id(["o_orderkey"]).alias("id")))
 
 
-@query("SELECT o_orderstatus AS status, CASE WHEN o_orderstatus = 'P' THEN 'mismatch' ELSE 'exact' END AS verdict FROM orders GROUP BY 1")
-def reindex_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus").count().collect()  # three rows
-    rows = [(r[0], admin.verdict(r[1], r[1], r[1] - (r[0] == "P"))) for r in counts]
-    return spark.createDataFrame(rows, "status string, verdict string")
+@query("SELECT 'exact' AS verdict, 'suppliers' AS alias, s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0")
+def reindex_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild under a fresh name, its verdict, the alias switched, the old index gone: what the alias then shows."""
+    tables = {"supplier": table(spark, sf_dir, "supplier")}
+    view = View("supplier", "suppliers-old", key=["s_suppkey"], where="s_acctbal >= 0", columns=["s_suppkey", "s_name"])
+    store = Store(spark, work_dir(spark, "reindex"), document_type([view], tables), buckets=4)
+    admin.load(with_index(view, "suppliers-old"), {"supplier": tables["supplier"].where("s_suppkey < 5")}, store)
+    store.name("suppliers", "suppliers-old")
+    told = admin.reindex(view, tables, store, "suppliers", drop_old=True)
+    return store.documents().where(F.col("index") == store.named("suppliers")).select(F.lit(told).alias("verdict"), F.lit("suppliers").alias("alias"), "doc.*")
+
+
+@query("SELECT c_custkey AS n, 'missing' AS kind, NULL AS c_name, NULL::BIGINT AS version FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'found', c_name, 7 FROM customer WHERE c_acctbal >= 0")
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded documents asked for by key: in the order asked, with holes."""
+    tables = {"customer": table(spark, sf_dir, "customer")}
+    view = View("customer", "customers", key=["c_custkey"], columns=["c_name"], where="c_acctbal >= 0")
+    store = Store(spark, work_dir(spark, "lookup"), document_type([view], tables), buckets=4)
+    admin.load_ranges(view, tables, store, [40, 90], 7)
+    keys = tables["customer"].select(F.col("c_custkey").alias("n"), F.lit("customers").alias("index"), key_id(["c_custkey"]).alias("id"), F.lit(None).cast("string").alias("routing"))
+    return store.lookup(keys).select("n", F.when(F.col("doc").isNull(), "missing").otherwise("found").alias("kind"), "doc.c_name", "version")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, (SELECT count(*) FROM part) AS total FROM part WHERE p_partkey::VARCHAR > '15' ORDER BY 1 LIMIT 20")
+def store_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of ids after one, with the index's total beside it."""
+    tables = {"part": table(spark, sf_dir, "part")}
+    view = View("part", "parts", key=["p_partkey"], columns=["p_partkey"])
+    store = Store(spark, work_dir(spark, "page"), document_type([view], tables), buckets=4)
+    admin.load(view, tables, store, 1)
+    return store.page("parts", "15", 20).withColumn("total", F.lit(store.size("parts")).cast("long"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, '{"brand":"' || p_brand || '","note":null,"p_partkey":' || p_partkey || ',"price":"' || p_retailprice::DECIMAL(12, 2) || '","sizes":[' || p_size || ',null]}' AS json FROM part""")
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at the JSON edge: nulls shown, decimals as text, sorted names."""
+    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand"), F.lit(None).cast("string").alias("note"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"), F.array("p_size", F.lit(None)).alias("sizes"))
+    return as_json(documents(View("part", "parts", key=["p_partkey"], rename={"p_brand": "brand"}), {"part": df})).select(F.col("_id").alias("id"), "json")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 1000")
+def soft_delete_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = View("orders", "orders", key=["o_orderkey"], where="o_totalprice > 1000", soft_delete="o_orderstatus = 'P'")
+    return documents(view, {"orders": table(spark, sf_dir, "orders")}).select(F.col("_id").alias("id"))
+
+
+@query("SELECT 'c' || c_custkey AS id, NULL AS routing, 'customer' AS name, NULL AS parent FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'order', 'c' || o_custkey FROM orders")
+def join_parent_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of a relation under their parent's id, written by the parent's own rule."""
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "orders")}
+    views = [View("customer", "shop", key=["c_custkey"], id="c{c_custkey}", columns=[], join=JoinRule("customer")), View("orders", "shop", key=["o_orderkey"], id="o{o_orderkey}", columns=[], join=JoinRule("order", parent_key="o_custkey"))]
+    made = [documents(related_ids(v, views), tables).select(F.col("_id").alias("id"), F.col("_routing").alias("routing"), "join.name", "join.parent") for v in views]
+    return made[0].unionByName(made[1])
+
+
+# -- scalar edges ----------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_size || '|' || p_name || '|-' AS items FROM part")
+def array_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("{"), F.col("p_size").cast("string"), F.lit(',"'), "p_name", F.lit('",NULL}'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(scalars.array_items(text), "|", "-").alias("items"))
+
+
+@query("""
+    SELECT c_custkey, base64(c_name::BLOB) AS b64, ('0x' || substr(hex(c_name), 1, 12))::BIGINT::DECIMAL(20, 0) AS bits, CASE WHEN c_nationkey > 0 THEN c_nationkey END AS version,
+      'a-b_' || c_custkey AS reject, CASE WHEN c_nationkey > 0 THEN c_nationkey * 1099511627776 ELSE 0 END AS base, 5000000 AS latency, 41 + length(c_name) + length(c_custkey::VARCHAR) AS bytes
+    FROM customer""")
+def scalar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversions at the edges: hex bytes, bits, versions, reject ids, failover bases, latencies, sizes."""
+    df = table(spark, sf_dir, "customer")
+    hexed = F.concat(F.lit("\\x"), F.lower(F.hex(F.col("c_name").cast("binary"))))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey"))
+    committed = (F.lit(1_700_000_000 - scalars.EPOCH_2000 - 5) + F.col("c_custkey")) * 1_000_000
+    size = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("nothing", T.StringType())])
+    return df.withColumn("nothing", F.lit("12")).select(
+        "c_custkey", scalars.base64_of_hex(hexed).alias("b64"), scalars.bit_number(F.substring("c_name", 1, 6).cast("binary")).alias("bits"), scalars.external_version(F.col("c_nationkey")).alias("version"),
+        scalars.reject_id(F.lit("a"), F.concat(F.lit("b/"), F.col("c_custkey").cast("string"))).alias("reject"), scalars.generation_base(F.col("c_nationkey")).alias("base"),
+        scalars.commit_latency_us(committed, at).alias("latency"), scalars.document_bytes(size).alias("bytes"),
+    )
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'shop.' || n_name WHEN 2 THEN n_name END AS emptied FROM nation")
+def emptied_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that a logged statement empties, if it does."""
+    n = F.col("n_nationkey") % 4
+    text = F.when(n == 0, F.concat(F.lit("truncate table `"), "n_name", F.lit("`;"))).when(n == 1, F.concat(F.lit(" TRUNCATE `shop`.`"), "n_name", F.lit("`"))).when(n == 2, F.concat(F.lit("Drop Table If Exists `"), "n_name", F.lit("`"))).otherwise(F.concat(F.lit("DELETE FROM "), "n_name"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalars.truncated_table(text).alias("emptied"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey > 0 THEN n_name END AS n_name FROM nation")
+def dump_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump in tab-separated form, written and read."""
+    path = work_dir(spark, "dump")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), F.when(F.col("n_regionkey") > 0, F.col("n_name")).otherwise("\\N")).alias("value"))
+    rows.write.text(path)
+    return readers.copy_text(spark, path, "n_nationkey int, n_name string")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'o' || o_orderkey || o_orderstatus WHEN 1 THEN 'o' || o_orderkey || 'F' ELSE 'none' END AS id FROM orders")
+def id_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of a changed row: from the row, else the row before; none where neither tells."""
+    n = F.col("o_orderkey") % 3
+    rows = table(spark, sf_dir, "orders").withColumns({"after": F.when(n == 0, F.struct("o_orderkey", "o_orderstatus")), "before": F.when(n < 2, F.struct("o_orderkey", F.lit("F").alias("o_orderstatus"))), "pk": F.struct("o_orderkey")})
+    return rows.select("o_orderkey", F.coalesce(first_rendered(Template.parse("o{o_orderkey}{o_orderstatus}"), rows.schema, ["o_orderkey"]), F.lit("none")).alias("id"))
+
+
+def streamed(spark: SparkSession, name: str, log: DataFrame, plan, doc, cuts: list[int]) -> Store:
+    """A store after a log, cut into files at places of it, has run through rules as a file stream, a file a batch, and all of it once more."""
+    root = work_dir(spark, name)
+    place = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("seq")))
+    for i in range(len(cuts) + 1):
+        log.where(place == i).repartition(1, F.xxhash64("seq", "kind")).write.mode("append").parquet(f"{root}/changes")
+    store = Store(spark, f"{root}/store", doc, buckets=16)
+    store.prepare()
+    for again in range(2):  # the second time from the start, as after a lost checkpoint
+        stream = apply.read_changes(spark, f"{root}/changes", log.schema, files_per_batch=1)
+        apply.run(stream, store, lambda: plan(store), f"log-{again}", f"{root}/checkpoint-{again}").awaitTermination()
+    return store
 
 
 @query(LAST)
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log as a file stream, merged batch by batch into a target."""
-    import tempfile
-
-    from docloom.operators.targets import Target
-    from docloom.streaming import apply
-
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}").rstrip("/") + f"/docloom-stream-{os.urandom(8).hex()}"
-    ops(spark, sf_dir).repartition(3, F.xxhash64("seq")).write.parquet(f"{root}/changes")
-    schema = ops(spark, sf_dir).schema
-    target = Target(spark, f"{root}/target", schema["doc"].dataType)
-    target.ensure_ready()
-    stream = apply.read_changes(spark, f"{root}/changes", schema, files_per_batch=1)
-    apply.run(stream, target, lambda: lambda batch: batch.withColumn("ack_lsn", F.col("version")), "events", f"{root}/checkpoint").awaitTermination()
-    return shown(target.stored())
+    """The synthetic change log through a file stream and compiled rules: the same as one batch merge."""
+    view = View("users", "users", key=["id"])
+    kind = T.StructType([T.StructField("id", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("event_type", T.StringType())])
+    rows = ops(spark, sf_dir).select(F.when(F.col("action") == "delete", "delete").otherwise("update").alias("op"), F.struct("id").alias("key"), F.when(F.col("action") == "upsert", F.struct("id", "doc.value", "doc.event_type")).alias("after"), "version", "seq")
+    plan = lambda store: ChangePlan([view], {"users": kind}, lambda: {"users": spark.createDataFrame([], kind)}, kind)
+    return shown(streamed(spark, "stream", log_rows(rows, "public", "users"), plan, kind, [300, 5000]).winners())
+
+
+STREAM_VIEWS = """
+[[sync.tables]]
+table = "customer"
+index = "customers-{c_mktsegment}"
+key = ["c_custkey"]
+where = "c_acctbal > 0"
+columns = ["c_custkey", "c_name", "c_acctbal"]
+rename = {c_name = "name", c_acctbal = "balance"}
+constants = {origin = "{schema}.{table}"}
+[sync.tables.transform]
+c_name = {op = "hash"}
+[[sync.tables.children]]
+field = "orders"
+table = "orders"
+key = "o_custkey"
+order = ["o_orderkey"]
+columns = ["o_orderkey", "o_orderstatus"]
+max_rows = 3
+[[sync.tables.counts]]
+field = "open"
+table = "orders"
+key = "o_custkey"
+where = "o_orderstatus = 'O'"
+
+[[sync.tables]]
+table = "part"
+index = "parts"
+key = ["p_partkey"]
+columns = ["p_partkey", "p_type"]
+[sync.tables.fan_out]
+field = "p_type"
+id = "{p_partkey}/{p_type}"
+by = " "
+"""
+
+
+def customer_log(customer: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """A history that ends in the given tables: in transactions of a hundred rows, from a truncate on.
+
+    Each customer is inserted under another segment, name and balance, then updated (its name left out of the log where it
+    didn't change); one in five is also deleted and comes back. Orders arrive under another customer and status first. Each
+    part begins with other types. Customers, orders and parts that aren't in the tables come and go.
+    """
+    none = F.lit(None)
+    segment = F.when(F.col("c_custkey") % 2 == 0, "OLD").otherwise(F.col("c_mktsegment"))
+    old_name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise("before")
+    now = F.struct(*customer.columns)
+    old = F.struct("c_custkey", old_name.alias("c_name"), "c_nationkey", (-F.col("c_acctbal")).alias("c_acctbal"), segment.alias("c_mktsegment"))
+    left_out = F.struct("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("c_name"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    unchanged = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("c_name"))).otherwise(F.array().cast("array<string>"))
+    at = lambda step, key: (F.lit(step * 10**9) + F.col(key)).alias("seq")
+    rows = lambda df, table: log_rows(df, "public", table)
+    stale = customer.select(F.lit("insert").alias("op"), F.struct(*(F.lit("stale").alias("c_name") if c == "c_name" else F.col(c) for c in customer.columns)).alias("after"), at(1, "c_custkey"))
+    first = customer.select(F.lit("insert").alias("op"), old.alias("after"), at(3, "c_custkey"))
+    # the whole row, then once more with what the log leaves out of a row that didn't change there
+    whole = customer.select(F.lit("update").alias("op"), old.alias("before"), now.alias("after"), at(4, "c_custkey"))
+    again = customer.select(F.lit("update").alias("op"), now.alias("before"), left_out.alias("after"), unchanged.alias("unchanged"), at(5, "c_custkey"))
+    lost = customer.where("c_custkey % 5 = 0").select(F.lit("delete").alias("op"), now.alias("before"), at(6, "c_custkey"))
+    back = customer.where("c_custkey % 5 = 0").select(F.lit("insert").alias("op"), now.alias("after"), at(7, "c_custkey"))
+    extra = customer.withColumns({"c_custkey": F.col("c_custkey") + 10**8, "c_acctbal": F.lit(5.0)})
+    come = extra.select(F.lit("insert").alias("op"), now.alias("after"), at(3, "c_custkey"))
+    go = extra.select(F.lit("delete").alias("op"), now.alias("before"), at(6, "c_custkey"))
+    order = F.struct(*orders.columns)
+    other = F.struct("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("N").alias("o_orderstatus"), *orders.columns[3:])
+    ordered = orders.select(F.lit("insert").alias("op"), other.alias("after"), at(3, "o_orderkey"))
+    moved = orders.select(F.lit("update").alias("op"), other.alias("before"), order.alias("after"), at(8, "o_orderkey"))
+    typed = F.struct(*part.columns)
+    before = F.struct(*(F.concat(F.lit("GONE "), F.substring_index("p_type", " ", 1)).alias(c) if c == "p_type" else F.col(c) for c in part.columns))
+    parts = part.select(F.lit("insert").alias("op"), before.alias("after"), at(3, "p_partkey"))
+    retyped = part.select(F.lit("update").alias("op"), before.alias("before"), typed.alias("after"), at(4, "p_partkey"))
+    dropped = part.withColumn("p_partkey", F.col("p_partkey") + 10**8)
+    parts_come = dropped.select(F.lit("insert").alias("op"), typed.alias("after"), at(3, "p_partkey"))
+    parts_go = dropped.select(F.lit("delete").alias("op"), typed.alias("before"), at(5, "p_partkey"))
+    made = [rows(x, "customer") for x in (stale, first, whole, again, lost, back, come, go)] + [rows(x, "orders") for x in (ordered, moved)] + [rows(x, "part") for x in (parts, retyped, parts_come, parts_go)]
+    log = made[0]
+    for m in made[1:]:
+        log = log.unionByName(m)
+    log = log.withColumns({"txn_id": F.floor(F.col("seq") / 100), "version": F.col("seq") + 1})
+    commits = log.groupBy("txn_id").agg(F.max("version").alias("version"), F.max("seq").alias("seq")).withColumn("kind", F.lit("commit"))
+    # a transaction that never ends: its rows must not be seen
+    open_ = rows(customer.select(F.lit("delete").alias("op"), now.alias("before"), at(9, "c_custkey")), "customer").withColumns({"version": F.col("seq") + 1, "txn_id": F.lit(10**12)})
+    cut = spark_row(customer, kind="truncate", schema="public", table="customer", version=2 * 10**9, seq=2 * 10**9)
+    return log.unionByName(commits, allowMissingColumns=True).unionByName(open_).unionByName(cut, allowMissingColumns=True)
+
+
+def spark_row(df: DataFrame, **values) -> DataFrame:
+    return df.sparkSession.range(1).select(*((F.lit(v).cast("long") if isinstance(v, int) else F.lit(v)).alias(k) for k, v in values.items()))
+
+
+@query("""
+    WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn, count(*) OVER (PARTITION BY o_custkey) n FROM orders),
+    a AS (SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY rn) FILTER (rn <= 3) items, max(n) n, count(*) FILTER (o_orderstatus = 'O') k FROM o GROUP BY 1)
+    SELECT 'customers-' || lower(c_mktsegment) AS index, c_custkey::VARCHAR AS id, substr(sha256('"' || c_name || '"'), 1, 16) AS name, c_acctbal AS balance, 'public.customer' AS origin,
+      coalesce(items, '') AS orders, CASE WHEN n > 3 THEN n END AS orders_total, coalesce(k, 0) AS open, NULL AS type
+    FROM customer LEFT JOIN a ON a.o_custkey = c_custkey WHERE c_acctbal > 0
+    UNION ALL SELECT DISTINCT 'parts', p_partkey || '/' || word, NULL, NULL, NULL, NULL, NULL, NULL, word FROM (SELECT p_partkey, unnest(list_filter(string_split(p_type, ' '), lambda x: x <> '')) AS word FROM part)""")
+def view_stream_equals_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with a filter, an index template, transforms, renames, a capped collection, a count and a fan-out, kept by a shuffled and replayed change log."""
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "orders", "part")}
+    tables["customer"] = tables["customer"].withColumn("c_mktsegment", F.lower("c_mktsegment"))
+    views = from_toml(STREAM_VIEWS)
+    doc = document_type(views, tables)
+    log = customer_log(tables["customer"].withColumn("c_mktsegment", F.lower("c_mktsegment")), tables["orders"], tables["part"])
+    log = log.withColumns({n: F.regexp_replace(n, '"OLD"', '"old"') for n in ("before", "after")})
+    plan = lambda store: ChangePlan(views, {t: df.schema for t, df in tables.items()}, lambda: tables, doc, store.lookup)
+    docs = streamed(spark, "views", log, plan, doc, [3 * 10**9 + 50, 4 * 10**9 + 50, 6 * 10**9 + 50]).documents()
+    return docs.select("index", "id", "doc.name", "doc.balance", "doc.origin", joined(F.col("doc.orders"), "o_orderkey", "o_orderstatus").alias("orders"), "doc.orders_total", "doc.open", F.col("doc.p_type").alias("type"))
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,12 +107,32 @@ def contained(wanted: T.StructType, live: T.StructType, at: str = "") -> tuple[l
     return missing, conflicting
 
 
-def coalesced_intervals(intervals: DataFrame) -> DataFrame:
-    """(uuid, first, last) with overlapping and neighbouring intervals of a uuid made one."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("uuid").orderBy("first", "last")
+def _islands(intervals: DataFrame, *within: str) -> DataFrame:
+    order = Window.partitionBy(*within).orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("first") > reach + 1), 1).otherwise(0)
     grouped = intervals.withColumn("_new", new).withColumn("_g", F.sum("_new").over(order))
-    return grouped.groupBy("uuid", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
+    return grouped.groupBy(*within, "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
+
+
+def coalesced_intervals(intervals: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(uuid, first, last) with overlapping and neighbouring intervals of a uuid made one.
+
+    First within blocks of ``block`` numbers, so that a uuid with most of all intervals is spread; what is left of it, its gaps, second.
+    """
+    parts = _islands(intervals.withColumn("_block", F.floor(F.col("first") / block)), "uuid", "_block")
+    return _islands(parts.drop("_block"), "uuid")
+
+
+def interval_set(text: Column) -> Column:
+    """The intervals (uuid, first, last) of a set's text ``uuid:1-5:7,uuid:3``; a single number is an interval of its own."""
+    one = lambda uuid, part: F.struct(uuid.alias("uuid"), F.substring_index(part, "-", 1).cast("bigint").alias("first"), F.substring_index(part, "-", -1).cast("bigint").alias("last"))
+    of = lambda item: F.transform(F.slice(F.split(item, ":"), 2, F.size(F.split(item, ":")) - 1), lambda part: one(F.substring_index(item, ":", 1), part))
+    return F.flatten(F.transform(F.split(F.regexp_replace(text, r"\s", ""), ","), of))
+
+
+def interval_texts(intervals: DataFrame) -> DataFrame:
+    """(uuid, text): each uuid's coalesced intervals in a set's form."""
+    part = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
+    parts = coalesced_intervals(intervals).groupBy("uuid").agg(F.array_sort(F.collect_list(F.struct("first", part.alias("part")))).alias("p"))
+    return parts.select("uuid", F.concat_ws(":", "uuid", F.transform("p", lambda x: x["part"])).alias("text"))

@@ -12,7 +12,7 @@ from docloom.functions.predicate import Predicate, PredicateError
 from docloom.functions.siv import Siv
 from docloom.functions.templates import Template, TemplateError, index_name, key_id, matches
 from docloom.functions.transforms import Transform, iso_date, java_pattern
-from docloom.operators.targets import point_id
+from docloom.operators.store import point_id
 
 
 @pytest.mark.parametrize("text", ["", "a", "a =", "1 = a", "a = NULL", "a LIKE 'x'", "a BETWEEN 1 AND 2", "lower(a) = 'x'", "a = 1 AND", "(a = 1", "a = 1 b", "a NOT = 1", "a IN ()", "a = b", "a ~ 1"])
