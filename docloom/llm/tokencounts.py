@@ -1,12 +1,13 @@
 """Token counts by document: whole texts through the tokenizer's library, only lengths come back.
 
 Within each Arrow batch, texts are cut at safe boundaries into parts of at most ``PART`` characters where
-they are longer, and the parts go to the library in batches of about ``BATCH`` bytes, so that no call
-holds much more than that, whatever a document's length.
+they are longer, and the parts, of one text or of many, go to the library in calls of about ``BATCH`` bytes. A part is longer
+only where a text has no safe boundary for so long.
 
-A safe boundary of a SentencePiece model whose pieces never hold a blank after another character: a
-single blank between two other characters. The blank goes; the library puts one before each part.
-Other tokenizers get whole texts. Null and empty texts count 0 tokens. Every row gives one row.
+A safe boundary of a SentencePiece model that normalises nothing and whose pieces never hold a blank after another
+character: a single blank between two other characters. The blank goes; the library puts one before each part.
+Other tokenizers get whole texts. Null and empty texts count 0 tokens. Every row gives one row, repeated ones too;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -53,11 +54,18 @@ def counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     if path not in _COUNTERS:
         if path.endswith(".model"):
             import sentencepiece
+            from sentencepiece import sentencepiece_model_pb2 as proto
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-            # true of a model with word-bound pieces and a blank put before each text
-            cuttable = not any(p.lstrip(MARK).find(MARK) >= 0 for p in pieces) and model.encode_as_pieces("a") == model.encode_as_pieces("b a")[-1:]
+            spec = proto.ModelProto()
+            with open(path, "rb") as f:
+                spec.ParseFromString(f.read())
+            normal = spec.normalizer_spec
+            plain = not normal.precompiled_charsmap and not normal.normalization_rule_tsv and normal.add_dummy_prefix and normal.escape_whitespaces
+            # pieces of the user's own are found before all else, over any boundary
+            own = any(p.type == 4 and MARK in p.piece for p in spec.pieces)
+            word_bound = not any(MARK in p.piece.lstrip(MARK) for p in spec.pieces)
+            cuttable = bool(plain and word_bound and not own and not spec.trainer_spec.treat_whitespace_as_suffix)
             _COUNTERS[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]), cuttable
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,19 +82,35 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 COUNTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
+def calls(parts: Iterator[tuple[int, str]], most: int = BATCH) -> Iterator[tuple[list[int], list[str]]]:
+    """Owners and parts in runs of about ``most`` bytes; a longer part stands alone."""
+    owners, texts, size = [], [], 0
+    for owner, text in parts:
+        n = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if texts and size + n > most:
+            yield owners, texts
+            owners, texts, size = [], [], 0
+        owners.append(owner)
+        texts.append(text)
+        size += n
+    if texts:
+        yield owners, texts
+
+
 def _count(tokenizer: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cuttable = counter(tokenizer)
         for b in batches:
             texts = texts_of(b.column(1))
             total = np.zeros(len(texts), np.int64)
-            for i, j in slices(texts, BATCH):
-                parts, owner = [], []
-                for k, text in enumerate(texts.slice(i, j - i).to_pylist(), i):
-                    cut = safe_parts(text) if cuttable else [text]
-                    parts += cut
-                    owner += [k] * len(cut)
-                np.add.at(total, owner, count(parts))
+
+            def parts(texts: pa.Array = texts) -> Iterator[tuple[int, str]]:
+                for i, j in slices(texts, BATCH):
+                    for k, text in enumerate(texts.slice(i, j - i).to_pylist(), i):
+                        yield from ((k, x) for x in (safe_parts(text) if cuttable else [text]))
+
+            for owners, some in calls(parts()):
+                np.add.at(total, owners, count(some))
             yield batch(COUNTS_ARROW, doc_id=b.column(0), n_bytes=pc.binary_length(texts).cast(pa.int64()), n_tokens=total, over_limit=total > limit)
 
     return run
