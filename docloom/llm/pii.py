@@ -6,7 +6,11 @@ span it came from. The base detectors then read the rewritten text; a hit that r
 characters is mapped back to source code points and added, unless it meets a base hit of its kind.
 
 Base spans: leftmost, not overlapping within a kind; matches that fail the number checks are dropped.
-Null and empty texts have no spans. Every row gives one row.
+All passes are linear in the text, runs of blanks included. Null and empty texts have no spans. Every row gives one row,
+repeated ones too; an empty table gives none.
+
+What stays out, to leave prose alone: a plain ``at`` before a host counts only with a common last label, and not after a word
+that a site follows in prose (``PLACED``); spelled digits count in English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -19,9 +23,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import batch, chosen, slices, small_batches, texts_of
+from .common import batch, chosen, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -114,8 +117,10 @@ def one_for_one() -> dict[str, str]:
 GLYPHS = one_for_one()
 NARROW = [c for c in GLYPHS if ord(c) < 256]
 GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
-OPEN, SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-DOT = rf"(?:{OPEN}(?:dot|punto|punkt|point){SHUT}|[ \t]+dot[ \t]+)"
+# Blanks are taken whole and only from their first on, so that a run of them is read once.
+OPEN, SHUT = r"(?<![ \t])[ \t]*+[\[({<][ \t]*+", r"[ \t]*+[\])}>][ \t]*+"
+AT = "at|@|arroba|arobase|chez|ät|klammeraffe"
+DOT = rf"(?:{OPEN}(?:dot|punto|punkt|point|\.){SHUT}|[ \t]++dot[ \t]++)"
 # Last labels after which a plain "at ... dot" counts as an address.
 DOMAINS = "com|org|net|edu|gov|mil|info|biz|dev|app|io|co|ai|eu|uk|de|fr|es|nl|ch|pl|pt|ru|se|ca|au|jp|cn|br|mx"
 COUNTRIES = (
@@ -126,14 +131,31 @@ COUNTRIES = (
 )
 # Before "dot in" and the like these are prose ("look at the dot in"), no hosts.
 ARTICLES = "a|an|the|this|that|each|every|any|some|one|no|its|his|her|their|my|our|your|which|what"
-HOSTS = rf"[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}"
+# Words that a plain "at example.com" follows in prose ("visit us at example.com"): they are no local parts.
+PLACED = set(
+    "us|me|you|him|her|them|it|we|they|this|that|these|those|here|there|now|today|online|only|also|directly|again|and|or|but|is|are|was|were|be|been"
+    "|look|looks|looked|looking|visit|visits|find|found|see|seen|read|more|available|hosted|sold|live|lives|located|based|meet|stay|shop|buy|order|work|works|worked|working"
+    "|job|jobs|page|pages|site|sites|website|store|blog|info|information|details|published|posted|listed|register|registered|sign|contact|arrive|arrived|start|starts|started|began|aimed".split("|")
+)
+LABEL = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+HOSTS = rf"{LABEL}(?:{DOT}{LABEL})*{DOT}"
+SPOKEN = rf"{HOSTS}(?:{DOMAINS})\b|(?!(?:{ARTICLES})[ \t]){HOSTS}(?:{COUNTRIES})\b"
+WRITTEN = rf"(?:[A-Za-z0-9-]++\.)+(?:{DOMAINS})\b"
 DISGUISES = re.compile(
-    rf"(?P<at>{OPEN}(?:at|@){SHUT}(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9_])[ \t]+at[ \t]+(?={HOSTS}(?:{DOMAINS})\b|(?!(?:{ARTICLES})[ \t]){HOSTS}(?:{COUNTRIES})\b))"
+    rf"(?P<at>{OPEN}(?:{AT}){SHUT}(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9_])[ \t]++at[ \t]++(?={SPOKEN}))"
+    rf"|(?P<site>(?<=[A-Za-z0-9_])[ \t]++at[ \t]++(?={WRITTEN}))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9]))"
-    rf"|(?P<plus>\bplus[ \t]+(?=[0-9]|(?:{NUMBER})\b))"
+    rf"|(?P<plus>\bplus[ \t]++(?=[0-9]|(?:{NUMBER})\b))"
     rf"|(?P<number>\b(?:{NUMBER})(?:[ \t-]+(?:{NUMBER}))*\b)",
     re.IGNORECASE,
 )
+WORD_BEFORE = re.compile(r"[^\W_]+\Z")
+
+
+def placed(text: str, end: int) -> bool:
+    """Whether the word that ends at ``end`` is one that an address of a site follows in prose."""
+    word = WORD_BEFORE.search(text, max(0, end - 24), end)
+    return bool(word) and word[0].lower() in PLACED
 
 
 def glyphed(text: str) -> bool:
@@ -190,8 +212,8 @@ def rewritings(text: str) -> list[Rewritten]:
                 digits.append((m.start() + w.start(1), m.start() + w.end(1), digit_of(w[1])))
                 if w[2]:
                     digits.append((m.start() + w.start(2), m.start() + w.end(2), ""))
-        else:
-            marks.append((*m.span(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
+        elif m.lastgroup != "site" or not placed(glyphs.text, m.start()):
+            marks.append((*m.span(), {"at": "@", "site": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
     made = [glyphs.rewrite(sorted(marks + digits))] if digits else []
     made += [glyphs.rewrite(marks)] if marks else []
     return [x for x in [*made, glyphs] if x.text != text]
@@ -261,7 +283,6 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind; all other columns stay, null texts stay null."""
     at = docs.columns.index(text)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
