@@ -33,18 +33,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse, extended when a longer text comes."""
+    """Powers of the base and of its inverse; only those for a usual slice are kept."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.kept: tuple[np.ndarray, np.ndarray] | None = None
+
+    @staticmethod
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full((2, n), 1, np.uint64)
+        up[1:], down[1:] = BASE, INVERSE
+        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK + 1)
-            up, down = np.full((2, size), 1, np.uint64)
-            up[1:], down[1:] = BASE, INVERSE
-            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        return self.up, self.down
+        if n > 2 * CHUNK:  # a word that is longer than any slice
+            return self.made(n)
+        if self.kept is None:
+            self.kept = self.made(2 * CHUNK)
+        return self.kept
 
 
 POWERS = Powers()
@@ -71,10 +76,28 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return words, np.searchsorted(starts, offsets)
 
 
+def long_words(data: np.ndarray, most_bytes: int) -> np.ndarray:
+    """Hashes of all words of one long text, taken piece by piece; pieces end at blanks."""
+    words, at = [], 0
+    while at < len(data):
+        end = at + most_bytes
+        while end < len(data) and not (found := np.flatnonzero(SPACE[data[end : end + most_bytes]])).size:
+            end += most_bytes
+        end = end + int(found[0]) if end < len(data) else len(data)
+        words.append(hash_words(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(words)
+
+
 def word_batches(column: pa.Array, most_bytes: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, word offsets by row) for slices of a text column."""
+    """(first row, word hashes, word offsets by row) for slices of a text column; a longer text is read piece by piece."""
     for i, j in slices(column, most_bytes):
-        yield i, *hash_words(*buffers(column.slice(i, j - i)))
+        data, offsets = buffers(column.slice(i, j - i))
+        if j - i == 1 and len(data) > most_bytes:
+            words = long_words(data, most_bytes)
+            yield i, words, np.array([0, len(words)])
+        else:
+            yield i, *hash_words(data, offsets)
 
 
 def shingle_sets(words: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
