@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save, scratch
+from .common import save, scratch
 
 
 def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -41,6 +41,3 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
         links = kept(ab.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
     return labels, made
 
-
-def forget(spark, made: list[str]) -> None:
-    drop(spark, *made)

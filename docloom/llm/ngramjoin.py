@@ -5,55 +5,64 @@ global order, rare first (by a fixed-size sketch of counts over all documents, t
 that link must share an n-gram of their prefixes, so classes meet in the posting lists of prefix n-grams.
 
 No list is paired out. All lists with the same middle class (the one in most lists) form a group, of the
-classes in any of them. Within a group, classes that share too few prefix n-grams with every other are
-dropped; only the rest have their whole sets made. A large group's classes are first dealt out at random over blocks of about
-``GROUP`` classes or ``GRAMS`` n-grams, whichever is reached first, twice, and each block gives only the links that connect it; so large groups of copies grow together at
-the cost of shipping each set once a turn. Then the group is finished in pairs of blocks, but for pairs within
-its largest component: each two classes of a list are compared once there, unless they are already
-connected. So the components are exact, and no task or table holds more than blocks of a group.
-
-The sets of a block go into a trie, most shared n-grams first. It is walked
-depth first: sets with a common beginning share its partial overlap with the set that is looked up, and
-a set is pruned at its branch when what remains of it, or of the other, can't reach the overlap that
+classes in any of them. A group's classes are dealt over blocks by set size, and within a size at random, of about ``GROUP``
+classes or ``GRAMS`` n-grams, whichever is reached first; only blocks whose sizes can link meet. First
+the prefixes of a block go into a trie, in which those of the other are looked up: classes that share too few prefix
+n-grams with every other are dropped, and only the rest have their whole sets made. A large group's classes are
+then dealt out at random, twice, and each block gives only the links that connect it; so large groups of copies grow
+together at the cost of shipping each set once a turn. Last the group is finished in pairs of blocks, but for pairs
+within its largest component: each two classes of a list are compared once there, unless they are already
+connected. So the components are exact, and no task holds more than two blocks.
+
+A trie holds sets from the end of the global order, most frequent n-grams first. It is walked
+depth first: sets with a common beginning share its partial overlap with the sets that are looked up, and
+a subtree is pruned at its branch when what remains of its sets, or of those looked up, can't reach the overlap that
 a link needs.
 
+N-grams are told apart by 64-bit hashes, classes by 128 bits.
+
 Edge cases: texts without words are empty and linked with nothing; null texts too. Repeated rows are equal
-sets. A null doc_id stays null and is never a component's id unless the component has no other.
+sets. Very long texts count whole; one text's n-grams stay together. A null doc_id stays null and is never a component's
+id unless the component has no other. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch, chosen, drop, release, save, scratch, texts_of
-from .components import components, forget
+from .common import batch, chosen, drop, save, scratch, texts_of
+from .components import components
 from .wordhash import U, mix, shingle_sets, word_batches
 
 COUNTERS = 1 << 20
 PIECE = 1 << 16
 GROUP = 256
 GRAMS = 1 << 20
-COLUMNS = 1 << 14
+CELLS = 1 << 24
 BLOCK_TURNS = 2
 NO_ID = np.iinfo(np.int64).max
 
 
-def class_key(grams: np.ndarray) -> int:
-    """A 64-bit key of a set of hashed n-grams."""
-    if not len(grams):
-        return 0
-    with np.errstate(over="ignore"):
-        total = np.array([mix(grams * U(0xFF51AFD7ED558CCD)).sum(dtype=np.uint64) + U(len(grams))], np.uint64)
-    return int(mix(total).view(np.int64)[0])
+def class_keys(sets: list[np.ndarray]) -> list[bytes]:
+    """A 128-bit key of each set of hashed n-grams; an empty set's is zero."""
+    keys = np.zeros((len(sets), 2), np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if some := np.flatnonzero(sizes).tolist():
+        grams, starts = np.concatenate([sets[i] for i in some]), np.cumsum(sizes[some]) - sizes[some]
+        for place, salt in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)):
+            keys[some, place] = mix(np.add.reduceat(mix(grams * U(salt) + U(place)), starts) + sizes[some].astype(np.uint64))
+    return [k.tobytes() for k in keys]
 
 
-ROWS = "doc_id long, class long, n int, piece int, counts binary"
-ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
+ROWS = "doc_id long, row binary, class binary, n int, piece int, counts binary"
+ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("class", pa.binary()), ("n", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
 
 
 def _classes(k: int):
@@ -66,11 +75,11 @@ def _classes(k: int):
                 sets = shingle_sets(words, at, k)
                 n = len(sets)
                 sketch += np.bincount((np.concatenate(sets) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                yield batch(ROWS_ARROW, doc_id=b.column(0).slice(i, n), **{"class": [class_key(s) for s in sets]}, n=[len(s) for s in sets], piece=pa.nulls(n), counts=pa.nulls(n))
+                yield batch(ROWS_ARROW, doc_id=b.column(0).slice(i, n), row=b.column(2).slice(i, n), **{"class": class_keys(sets)}, n=[len(s) for s in sets], piece=pa.nulls(n), counts=pa.nulls(n))
         for p in range(COUNTERS // PIECE):
             part = sketch[p * PIECE : (p + 1) * PIECE]
             if part.any():
-                yield batch(ROWS_ARROW, doc_id=[None], **{"class": [None]}, n=[None], piece=[p], counts=[np.minimum(part, 2**31 - 1).astype("<u4").tobytes()])
+                yield batch(ROWS_ARROW, doc_id=[None], row=[None], **{"class": [None]}, n=[None], piece=[p], counts=[np.minimum(part, 2**31 - 1).astype("<u4").tobytes()])
 
     return run
 
@@ -91,7 +100,17 @@ def prefix(n, num: int, den: int):
     return n + (-num * n // den) + 1
 
 
-POSTINGS_ARROW = pa.schema([("gram", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
+POSTINGS_ARROW = pa.schema([("gram", pa.int64()), ("class", pa.binary()), ("n", pa.int32())])
+
+
+def first_grams(grams: np.ndarray, many: int, counts: np.ndarray) -> np.ndarray:
+    """The ``many`` first n-grams of a set, given in order of hash, in the global order: by count, then by hash."""
+    if many >= len(grams):
+        return grams
+    rank = counts[(grams & U(COUNTERS - 1)).astype(np.int64)]
+    last = np.partition(rank, many - 1)[many - 1]
+    before = np.flatnonzero(rank < last)
+    return grams[np.concatenate([before, np.flatnonzero(rank == last)[: many - len(before)]])]
 
 
 def _postings(k: int, sketch, num: int, den: int):
@@ -101,21 +120,12 @@ def _postings(k: int, sketch, num: int, den: int):
         counts = np.frombuffer(sketch.value, "<u4")
         for b in batches:
             for _, words, at in word_batches(texts_of(b.column(0))):
-                grams, classes, sizes = [], [], []
-                for s in shingle_sets(words, at, k):
-                    if n := len(s):
-                        first = prefix(n, num, den)
-                        if first < n:
-                            rank = np.minimum(counts[(s & U(COUNTERS - 1)).astype(np.int64)], U(2**20 - 1)).astype(np.uint64)
-                            order = np.argpartition(rank << U(44) | s >> U(20), first - 1)[:first]
-                            grams.append(s[order])
-                        else:
-                            grams.append(s)
-                        classes.append(class_key(s))
-                        sizes.append((n, len(grams[-1])))
-                if grams:
-                    times = [c for _, c in sizes]
-                    yield batch(POSTINGS_ARROW, gram=np.concatenate(grams).view(np.int64), **{"class": np.repeat(np.array(classes, np.int64), times)}, n=np.repeat(np.array([n for n, _ in sizes], np.int32), times))
+                sets = [s for s in shingle_sets(words, at, k) if len(s)]
+                if sets:
+                    first = [first_grams(s, prefix(len(s), num, den), counts) for s in sets]
+                    times = [len(f) for f in first]
+                    classes = pa.array(class_keys(sets), pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), times)))
+                    yield batch(POSTINGS_ARROW, gram=np.concatenate(first).view(np.int64), **{"class": classes}, n=np.repeat(np.array([len(s) for s in sets], np.int32), times))
 
     return run
 
@@ -125,7 +135,7 @@ def _sets(k: int):
         for b in batches:
             for _, words, at in word_batches(texts_of(b.column(0))):
                 sets = shingle_sets(words, at, k)
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_keys(sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "grams"])
 
     return run
 
@@ -136,20 +146,21 @@ def needed(n, m, num: int, den: int):
 
 
 class Trie:
-    """Sets of hashed n-grams in a trie, most shared n-grams first, laid out depth first.
+    """Sets of hashed n-grams in a trie, from the end of the global order, laid out depth first.
 
-    A set keeps only what it doesn't share with the set before it; ``shared`` says how much that one has.
+    A set keeps only what it doesn't share with the set before it; ``shared`` says how much that one has. ``counts`` is
+    the sketch that the global order goes by.
     """
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        by_rank = np.argsort(-count, kind="stable")
-        rank = np.empty(len(every), np.int64)
-        rank[by_rank] = np.arange(len(every))
+    def __init__(self, sets: list[np.ndarray], counts: np.ndarray) -> None:
+        self.every, place = np.unique(np.concatenate(sets), return_inverse=True)
+        by_rank = np.lexsort((self.every, counts[(self.every & U(COUNTERS - 1)).astype(np.int64)]))[::-1]
+        self.rank = np.empty(len(self.every), np.int64)
+        self.rank[by_rank] = np.arange(len(self.every))
         cuts = np.cumsum([len(s) for s in sets])[:-1]
-        paths = [np.sort(p) for p in np.split(rank[place], cuts)]
+        paths = [np.sort(p) for p in np.split(self.rank[place], cuts)]
         self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i8").tobytes())
-        self.grams = every[by_rank]
+        self.grams = self.every[by_rank]
         self.paths = [paths[i] for i in self.order]
         self.shared = [0]
         for before, path in zip(self.paths, self.paths[1:], strict=False):
@@ -157,6 +168,47 @@ class Trie:
             differ = np.flatnonzero(before[:m] != path[:m])
             self.shared.append(int(differ[0]) if len(differ) else m)
 
+    def reach(self, asked: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+        """For each set (a row) and each of ``asked`` (a column), whether they share at least ``least`` n-grams.
+
+        One walk for as many of ``asked`` as ``CELLS`` lets it: a node holds the partial overlaps with all of them.
+        """
+        step = max(1, CELLS // (len(self.grams) + 1))
+        return np.concatenate([self._walk(asked[i : i + step], least[:, i : i + step]) for i in range(0, len(asked), step)], axis=1)
+
+    def _walk(self, asked: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+        held = np.zeros((len(self.grams), len(asked)), np.int32)
+        for column, grams in enumerate(asked):
+            at = np.minimum(np.searchsorted(self.every, grams), len(self.every) - 1)
+            held[self.rank[at[self.every[at] == grams]], column] = 1
+        left = np.zeros((len(self.grams) + 1, len(asked)), np.int32)  # of each of asked, from a rank on
+        left[:-1] = np.cumsum(held[::-1], axis=0)[::-1]
+        shared, lengths = np.array([*self.shared, 0]), np.array([len(p) for p in self.paths])
+        need = least[self.order]
+        sums = np.zeros((int(lengths.max()) + 1, len(asked)), np.int32)
+        found = np.zeros(need.shape, bool)
+        i, known = 0, 0  # the partial overlaps of the last path's first ``known`` n-grams stand in sums
+        while i < len(self.paths):
+            path, at = self.paths[i], min(known, int(shared[i]))
+            known = at
+            rest = len(path) - at
+            bound = left[path[at]] if rest else 0
+            if (sums[at] + np.minimum(rest, bound) >= need[i]).any():
+                sums[at + 1 : len(path) + 1] = sums[at] + np.cumsum(held[path[at:]], axis=0)
+                known = len(path)
+                found[i] = sums[known] >= need[i]
+                i += 1
+                continue
+            # all sets that go on as this one does from here: gone at once, if the longest can't reach the least
+            end = i + 1 + int(np.argmax(shared[i + 1 :] <= at))
+            if end > i + 1 and not (sums[at] + np.minimum(int(lengths[i:end].max()) - at, bound) >= need[i:end].min(axis=0)).any():
+                i = end
+            else:
+                i += 1
+        out = np.empty_like(found)
+        out[self.order] = found
+        return out
+
     def linked(self, pivot: np.ndarray, num: int, den: int) -> list[int]:
         """Numbers of the sets that link with ``pivot``."""
         at = np.minimum(np.searchsorted(pivot, self.grams), len(pivot) - 1)
@@ -187,7 +239,8 @@ class Trie:
         return found
 
 
-LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+LINKS = "a binary, b binary"
+LINKS_ARROW = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 class Parts:
@@ -209,7 +262,7 @@ class Parts:
         return True
 
 
-def _connect(num: int, den: int, all_pairs: bool):
+def _connect(num: int, den: int, sketch, all_pairs: bool):
     """Links that connect the classes of a block, or of a pair of blocks (own = first, own = second).
 
     Without ``all_pairs``, classes in the largest part are looked up no more once it has grown.
@@ -221,7 +274,7 @@ def _connect(num: int, den: int, all_pairs: bool):
         if len(parts.members) > 1 and own.min() == key[1].as_py() and own.max() == key[2].as_py():
             sets = [np.frombuffer(x, np.uint64) for x in rows["grams"].to_pylist()]
             right = np.flatnonzero(own == key[2].as_py()).tolist()
-            trie = Trie([sets[i] for i in right])
+            trie = Trie([sets[i] for i in right], np.frombuffer(sketch.value, "<u4"))
             # those in the middle first
             for i in sorted(np.flatnonzero(own == key[1].as_py()).tolist(), key=lambda i: (rows["rank"][i].as_py(), ids[i])):
                 if len(parts.members) == 1:
@@ -234,96 +287,102 @@ def _connect(num: int, den: int, all_pairs: bool):
                 for j in trie.linked(sets[i], num, den):
                     if parts.join(i, right[j]):
                         links.append((ids[i], ids[right[j]]))
-        return pa.Table.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], schema=LINKS_ARROW)
+        return pa.Table.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], schema=LINKS_ARROW)
 
     return run
 
 
-def _shared(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many n-grams each of ``left`` shares with each of ``right``, by at most ``COLUMNS`` n-grams at a time."""
-    _, place, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    common = times > 1
-    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[common[place]]
-    column = (np.cumsum(common) - 1)[place[common[place]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    shared = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, int(common.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [first, first + COLUMNS])
-        held = np.zeros((len(grams), int(column[b - 1]) + 1 - first), np.float32)
-        held[row[a:b], column[a:b] - first] = 1
-        shared += held[left] @ held[right].T
-    return shared
-
-
-def _could_link(num: int, den: int):
+def _could_link(num: int, den: int, sketch):
     """Classes of a pair of blocks that may link with another, by how many prefix n-grams two of them share.
 
     Of two sets that link, take the one whose prefix ends first in the global order: all that its prefix shares with
     the other set is in the other's prefix, and at most n - overlap of its n-grams are not shared.
     """
+    never = np.iinfo(np.int32).max
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, n, own = rows["class"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["own"].to_numpy()
-        grams = [x.values.to_numpy() for x in rows["grams"]]
+        ids, n, own = rows["class"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["own"].to_numpy()
         left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-        if not len(left) or not len(right):
-            return rows.select(["mid", "class", "rank", "n"]).slice(0, 0)
-        shared = _shared(grams, left, right)
-        a, b = n[left][:, None], n[right][None]
-        least = needed(a, b, num, den) + np.minimum(np.minimum(prefix(a, num, den), a) - a, np.minimum(prefix(b, num, den), b) - b)
-        good = (shared >= np.maximum(least, 1)) & (a * den >= b * num) & (b * den >= a * num) & (ids[left][:, None] != ids[right][None])
-        kept = np.union1d(left[good.any(axis=1)], right[good.any(axis=0)])
-        return rows.select(["mid", "class", "rank", "n"]).take(pa.array(kept))
+        kept = rows.select(["mid", "class", "rank", "n"])
+        if not len(left) or not len(right) or (len(left) == 1 and ids[left[0]] == ids[right[0]] and len(right) == 1):
+            return kept.slice(0, 0)
+        grams = [np.sort(x.values.to_numpy().view(np.uint64)) for x in rows["grams"]]
+        a, b = n[right][:, None], n[left][None]
+        least = np.maximum(needed(a, b, num, den) + np.minimum(np.minimum(prefix(a, num, den), a) - a, np.minimum(prefix(b, num, den), b) - b), 1)
+        number = np.unique(np.array(ids, object), return_inverse=True)[1]
+        least[(a * den < b * num) | (b * den < a * num) | (number[right][:, None] == number[left][None])] = never
+        good = Trie([grams[i] for i in right], np.frombuffer(sketch.value, "<u4")).reach([grams[i] for i in left], least)
+        return kept.take(pa.array(np.union1d(left[good.any(axis=0)], right[good.any(axis=1)])))
 
     return run
 
 
 def blocks_of(classes: Column, grams: Column) -> Column:
-    """How many blocks a group of so many classes and n-grams is dealt over."""
+    """How many blocks so many classes and n-grams are dealt over."""
     return F.ceil(F.greatest(classes / GROUP, grams / GRAMS)).cast("int")
 
 
-def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
+KIND_BLOCKS = 1 << 20  # the blocks of the second kind are numbered from here
+
+
+def deal(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``rows`` (mid, kind, class, n and more) with own, i and j: cells (mid, i, j) in which classes of blocks i and j meet.
+
+    Every two classes of a group whose sizes can link meet in one cell, unless both are of kind 1. A group of one block
+    is one cell of a kind; a larger one's blocks are by size, in steps so wide that sizes that link are a step apart at most.
+    """
+    width = max(math.log(den / num) * 1.0001, 1e-3)
+    rows = rows.withColumn("s", F.floor(F.log("n") / width).cast("int"))
+    whole, ordered = Window.partitionBy("mid"), Window.partitionBy("mid", "kind").orderBy("s")  # over a row a size, not a class
+    sizes = rows.groupBy("mid", "kind", "s").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
+    large = blocks_of(F.sum("c").over(whole), F.sum("g").over(whole)) > 1
+    sizes = sizes.withColumn("large", large).withColumn("blocks", F.when(F.col("large"), blocks_of(F.col("c"), F.col("g"))).otherwise(1))
+    high = F.when(F.col("large"), F.sum("blocks").over(ordered)).otherwise(1).cast("int") + F.col("kind") * KIND_BLOCKS
+    sizes = sizes.withColumn("high", high).withColumn("low", F.col("high") - F.col("blocks"))
+    near = lambda side, column: F.when(side("s").over(ordered) - F.col("s") == (1 if side is F.lead else -1), side(column).over(ordered))
+    sizes = sizes.withColumns({"first": F.coalesce(near(F.lag, "low"), "low"), "end": F.coalesce(near(F.lead, "high"), "high")})
+    step = F.explode(F.when(F.col("large"), F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).otherwise(F.sequence(F.lit(0), F.lit(0))))
+    others = sizes.select("mid", "large", (1 - F.col("kind")).alias("kind"), step.alias("t"), "low", "high")
+    others = others.groupBy("mid", "kind", "t").agg(F.min("low").alias("other_first"), F.max("high").alias("other_end"))
+    at = F.when(F.col("large"), F.col("s")).otherwise(0)
+    sizes = sizes.withColumn("t", at).join(others, ["mid", "kind", "t"], "left").select("mid", "kind", "s", "blocks", "low", "first", "end", "other_first", "other_end")
+    none = F.array().cast("array<int>")
+    mine = F.when(F.col("kind") == 0, F.sequence(F.col("first"), F.col("end") - 1)).otherwise(none)
+    theirs = F.when(F.col("other_first").isNotNull(), F.sequence(F.col("other_first"), F.col("other_end") - 1)).otherwise(none)
+    own = F.col("low") + F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, ["mid", "kind", "s"]).withColumns({"own": own, "other": F.explode(F.concat(mine, theirs))})
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("s", "blocks", "low", "first", "end", "other_first", "other_end", "other", "kind")
+
+
+def candidates(lists: DataFrame, num: int, den: int, sketch) -> DataFrame:
     """(mid, class, rank, n): groups by lists' middle class, less the classes that can't link within theirs."""
-    short = lists.groupBy("class").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.collect_list("gram").alias("grams"))
+    short = lists.groupBy("class").agg(F.first("rank").alias("rank"), F.collect_list("gram").alias("grams"))
     mids = lists.groupBy("gram").agg(F.min(F.struct("rank", "class")).alias("m")).select("gram", F.col("m.class").alias("mid"))
     groups = lists.select("gram", "class", "n").join(mids, "gram").select("mid", "class", "n").distinct()
-    blocks = groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
-    dealt = groups.join(blocks, "mid").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("mid", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("mid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class").join(short, "class")
-    return dealt.groupBy("mid", "i", "j").applyInArrow(_could_link(num, den), "mid long, class long, rank long, n int").distinct()
+    dealt = deal(groups.withColumn("kind", F.lit(0)), num, den).join(short, "class")
+    return dealt.groupBy("mid", "i", "j").applyInArrow(_could_link(num, den, sketch), "mid binary, class binary, rank long, n int").distinct()
 
 
-def connect_blocks(groups: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+def connect_blocks(groups: DataFrame, sets: DataFrame, turn: int, num: int, den: int, sketch) -> DataFrame:
     """Links found within random blocks of each of ``groups`` (mid, class, label, rank, n)."""
     sizes = groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1")
     block = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("blocks")).cast("int")
     dealt = groups.join(sizes, "mid").select("mid", block.alias("i"), block.alias("j"), block.alias("own"), "class", "label", "rank")
-    return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, False), "a long, b long")
+    return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, sketch, False), LINKS)
 
 
-def finish(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def finish(groups: DataFrame, sets: DataFrame, num: int, den: int, sketch) -> DataFrame:
     """Links between classes of different labels of each of ``groups``, from all pairs of its blocks but those of its largest label."""
-    labels = groups.groupBy("mid", "label").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
-    tops = labels.groupBy("mid").agg(F.sum("c").alias("c"), F.sum("g").alias("g"), F.max(F.struct("c", "label", "g")).alias("top")).where("c > top.c")
-    few, many = blocks_of(F.col("c") - F.col("top.c"), F.col("g") - F.col("top.g")), blocks_of(F.col("top.c"), F.col("top.g"))
-    tops = tops.select("mid", F.col("top.label").alias("top"), few.alias("few"), many.alias("many"))
-    rows = groups.join(tops, "mid")
-    outside, h = F.col("label") != F.col("top"), F.xxhash64("class")
-    own = F.when(outside, F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("many"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(outside, F.col("many")).otherwise(0)))
-    dealt = rows.withColumn("own", own).select("mid", "own", "class", "label", "rank", other.alias("other"))
-    dealt = dealt.select("mid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "label", "rank")
-    return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, True), "a long, b long")
+    labels = groups.groupBy("mid", "label").agg(F.count("*").alias("c"))
+    tops = labels.groupBy("mid").agg(F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("top")).where("c > top.c").select("mid", F.col("top.label").alias("top"))
+    rows = groups.join(tops, "mid").withColumn("kind", F.when(F.col("label") == F.col("top"), 1).otherwise(0)).drop("top")
+    dealt = deal(rows, num, den).select("mid", "i", "j", "own", "class", "label", "rank")
+    return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, sketch, True), LINKS)
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text), in no order.
-
-    Documents link when ``den * |A & B| >= num * |A | B|`` for their sets of ``k``-word shingles.
-    """
+def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, class, n) of each row of ``docs`` (doc_id, text, row), and (class, least) with the first
+    (doc_id, row) of the class's component; a null doc_id comes last, as ``NO_ID``."""
     spark = docs.sparkSession
     paths: list[str] = []
 
@@ -331,37 +390,34 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
         paths.append(scratch(spark, name))
         return save(df, paths[-1])
 
-    docs = chosen(docs)
     first = kept(docs.mapInArrow(_classes(k), ROWS), "join-rows")
-    rows = first.where(F.col("class").isNotNull()).select("doc_id", "class", "n")
+    rows = first.where(F.col("class").isNotNull()).select("doc_id", "row", "class", "n")
     pieces = first.where(F.col("piece").isNotNull()).select("piece", "counts")
     whole = np.zeros((COUNTERS // PIECE, PIECE), np.int64)
     for r in pieces.repartition("piece").mapInArrow(_merge, "piece int, counts binary").toLocalIterator():
         whole[r["piece"]] += np.frombuffer(r["counts"], "<u4")
     sketch = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype("<u4").tobytes())  # COUNTERS numbers, whatever the input
 
-    postings = kept(docs.select("text").mapInArrow(_postings(k, sketch, num, den), "gram long, class long, n int"), "postings")
+    postings = kept(docs.select("text").mapInArrow(_postings(k, sketch, num, den), "gram long, class binary, n int"), "postings")
     several = postings.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
     lists = kept(postings.join(several, "gram", "left_semi").distinct(), "lists")
     drop(spark, paths[1])
     # a class that shares much of its prefix is near the middle of its group: such make the best pivots
     shares = lists.groupBy("class").agg((-F.count("*")).alias("rank"))
     lists = kept(lists.join(shares, "class").select("gram", "class", "n", "rank"), "lists")
-    release(spark)
-    groups = kept(candidates(lists, num, den), "groups")
-    members = rows.where("n > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
-    wanted = groups.select("class").distinct().join(members, "class").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
+    groups = kept(candidates(lists, num, den, sketch), "groups")
+    members = rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "row")).alias("first"))
+    wanted = groups.select("class").distinct().join(members, "class").select(F.nullif("first.doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
-    sets = kept(texts.mapInArrow(_sets(k), "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
-    release(spark)
+    sets = kept(texts.mapInArrow(_sets(k), "class binary, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
     large = not groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1").isEmpty()
     labels = groups.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
     for turn in range(BLOCK_TURNS + 1 if large else 1):
         labelled = groups.join(labels.withColumnRenamed("node", "class"), "class")
         if turn < BLOCK_TURNS and large:
-            links = connect_blocks(labelled, sets, turn, num, den)
+            links = connect_blocks(labelled, sets, turn, num, den, sketch)
         else:
-            links = finish(labelled, sets, num, den)
+            links = finish(labelled, sets, num, den, sketch)
         links = kept(links, "found")
         of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         edges = links.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -369,19 +425,40 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
         paths += made
         higher = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
         labels = kept(labels.join(higher, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-        release(spark)
 
     grouped = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    best = grouped.groupBy("label").agg(F.min("doc_id").alias("least"))
-    of_class = kept(grouped.join(best, "label").select("class", F.nullif("least", F.lit(NO_ID)).alias("least")), "components")
-    result = rows.join(of_class, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    best = grouped.groupBy("label").agg(F.min("first").alias("least"))
+    of_class = kept(grouped.join(best, "label").select("class", "least"), "components")
     drop(spark, *[p for p in paths if p not in (paths[0], paths[-1])])
-    release(spark)
-    return result
+    return rows, of_class
+
+
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text), in no order.
+
+    Documents link when ``den * |A & B| >= num * |A | B|`` for their sets of ``k``-word shingles.
+    """
+    rows, of_class = joined(chosen(docs).withColumn("row", F.lit(None).cast("binary")), k, num, den)
+    least = F.nullif("least.doc_id", F.lit(NO_ID))
+    return rows.join(of_class, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, least).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def row_key(id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of a row's id and text, a null told from all values."""
+    shown = F.concat(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("?")), F.when(F.col(f"`{text}`").isNull(), "-").otherwise("+"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    return F.unhex(F.md5(shown.cast("binary")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without all but one document (that of the smallest id) of each component; of rows repeated whole one stays."""
-    stay = ngram_join(docs, k, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "text"])
+    """``docs`` without all but one row of each component: that of the smallest id, of one id that of the smallest key of its text.
+
+    Rows are told apart by id and text, so of rows under one id each goes by its own text. Of rows with equal id and text one
+    stays, the first by a hash of all other columns. Empty and null texts have no copies but rows of their own id.
+    """
+    named = docs.withColumn("_row", row_key())
+    rows, of_class = joined(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("row")), k, num, den)
+    stay = of_class.select(F.col("least.row").alias("_row")).union(rows.where("n = 0").select("row")).distinct()
+    hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in hashed))))
+    single = named.withColumn("_nth", order).where(F.col("_nth") == 1).drop("_nth")
+    return single.join(stay, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
