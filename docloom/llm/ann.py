@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by cosine: inverted lists scanned dimension by dimension.
 
 Unit vectors are rotated by a random orthogonal matrix, so that after some of its columns a partial
-distance tells how far a vector will end up. Lists come from k-means on a bounded sample (``SAMPLE``
-vectors, ``MOST_LISTS`` lists); every vector is indexed. In each probed list a query adds up squared
+distance tells how far a vector will end up. Lists come from k-means on a bounded sample (at most ``SAMPLE``
+vectors and ``SAMPLE_BYTES`` bytes, ``MOST_LISTS`` lists); every vector is indexed. A query probes as many lists as the
+sample says, and more until they hold enough other rows. In each probed list a query adds up squared
 differences by blocks of columns and drops a candidate as soon as a hypothesis test rejects, at
 ``STRICT`` deviations, that it is as near as the k-th found. Survivors are scored on original vectors.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-vectors of another length than most. Every row but those with the query's own vec_id is a candidate. Ties go to the
-smaller vec_id. Fewer candidates than k in the probed lists give fewer rows.
+vectors, of the table or the queries, of another length than most of the table's. Every row but those with the query's own
+vec_id is a candidate, repeated rows each. A query is a vec_id: if rows repeat it, the first of its vectors in
+order is asked for. Ties go to the smaller vec_id. Fewer rows than k come only where the table has no more candidates.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, grid, usable_vectors
+from .common import batch, grid, save, scratch, usable_vectors
 
 SAMPLE = 20_000
+SAMPLE_BYTES = 1 << 26
 MOST_LISTS = 4096
 CALIBRATED = 256
 COLUMNS = 8
 STRICT = 3.0
 ROW_BLOCK = 8192
-QUERY_BLOCK = 256
+QUERY_BLOCK = (256, 4096)
 
 
 def rotation(d: int, seed: int = 11) -> np.ndarray:
@@ -74,17 +77,38 @@ ROWS = "cell int, vec_id long, rotated binary, vec array<double>"
 ROWS_ARROW = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("rotated", pa.binary()), ("vec", pa.list_(pa.float64()))])
 
 
-def _assign(turn: np.ndarray, centres: np.ndarray, probes: int):
+def _assign(turn: np.ndarray, centres: np.ndarray):
+    """Each row in its nearest list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 rotated = (unit(matrix(b.column(1))) @ turn).astype(np.float32)
-                near = rotated @ centres.T
-                lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                take = np.repeat(np.arange(b.num_rows), lists.shape[1])
+                lists = (rotated @ centres.T).argmax(axis=1).astype(np.int32)
+                yield batch(ROWS_ARROW, cell=lists, vec_id=b.column(0), rotated=[r.tobytes() for r in rotated], vec=b.column(1))
+
+    return run
+
+
+def _probe(turn: np.ndarray, centres: np.ndarray, sizes: np.ndarray, probes: int, k: int):
+    """Each query in its ``probes`` nearest lists, and in further ones until they hold k rows beside its own (``own``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                rotated = (unit(matrix(b.column(1))) @ turn).astype(np.float32)
+                lists = np.argsort(-(rotated @ centres.T), axis=1, kind="stable")
+                held = np.cumsum(sizes[lists], axis=1)
+                enough = (held < b.column(2).to_numpy()[:, None] + k).sum(axis=1) + 1
+                n = np.minimum(np.maximum(enough, probes), len(centres))
+                take = np.repeat(np.arange(b.num_rows), n)
+                place = np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
                 coded = pa.array([r.tobytes() for r in rotated], pa.binary())
-                yield batch(ROWS_ARROW, cell=lists.ravel().astype(np.int32), vec_id=b.column(0).take(pa.array(take)), rotated=coded.take(pa.array(take)), vec=b.column(1).take(pa.array(take)))
+                for i in range(0, len(take), 8192):
+                    part = pa.array(take[i : i + 8192])
+                    yield batch(ROWS_ARROW, cell=lists[take[i : i + 8192], place[i : i + 8192]].astype(np.int32), vec_id=b.column(0).take(part), rotated=coded.take(part), vec=b.column(1).take(part))
 
     return run
 
@@ -129,25 +153,38 @@ def _search(k: int):
     return run
 
 
+def sampled(rows: DataFrame, n: int, d: int) -> np.ndarray:
+    """At most ``SAMPLE`` vectors, by a hash of their ids; the same ones however the table is partitioned."""
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
+    share = min(1.0, 1.25 * most / n)
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).dropDuplicates(["vec_id"])
+    return matrix(some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec").toArrow().column("vec"))
+
+
 def ann(table: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.96) -> DataFrame:
     """query_id, rank, vec_id, score: for each of ``queries`` about the k rows of ``table`` of largest cosine.
 
     The number of lists a query scans is the least that holds ``share`` of the true neighbours of
     ``CALIBRATED`` sample vectors among the sample. A list with many rows or queries is dealt out over many groups.
     """
-    nonzero = F.exists("vec", lambda x: x != 0)
-    rows, asked = usable_vectors(table).where(nonzero), usable_vectors(queries).where(nonzero)
-    n = rows.count()
-    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], dtype=np.float64)
-    if not len(sample):
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark, nonzero = table.sparkSession, F.exists("vec", lambda x: x != 0)
+    rows, asked = (df.where(nonzero) for df in usable_vectors(table, queries))
+    first = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n = first["n"]
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = sampled(rows, n, first["d"])
     turn = rotation(sample.shape[1])
     lists = max(1, min(MOST_LISTS, len(sample), int(math.sqrt(n) / 2)))
     points = (unit(sample) @ turn).astype(np.float32)
     centres = kmeans(points, lists)
     probes = probes_needed(points, centres, k, share)
-    indexed = rows.select("vec_id", "vec").mapInArrow(_assign(turn, centres, 1), ROWS)
-    sent = asked.select("vec_id", "vec").mapInArrow(_assign(turn, centres, probes), ROWS)
+    indexed = save(rows.select("vec_id", "vec").mapInArrow(_assign(turn, centres), ROWS), scratch(spark, "ann-index"))
+    sizes = np.zeros(len(centres), np.int64)
+    for r in indexed.groupBy("cell").count().collect():  # at most as many as there are lists
+        sizes[r["cell"]] = r["count"]
+    own = rows.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    sent = asked.join(own, "vec_id", "left").select("vec_id", "vec", F.coalesce("own", F.lit(0).cast("long")).alias("own")).mapInArrow(_probe(turn, centres, sizes, probes, k), ROWS)
     left, right = grid(indexed, sent, ROW_BLOCK, QUERY_BLOCK)
     keys = ["cell", "rb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score double")

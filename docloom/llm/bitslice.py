@@ -7,9 +7,10 @@ carry-save adders sum them), then finds the k-th value from the most significant
 downward. What the dropped bits and weights can add is bounded, so the rows within that bound
 of the k-th are the only ones that can be among the k best; they are scored exactly.
 
-Edge cases: vectors that are null or hold null or non-finite components take no part, nor do vectors of
-another length than most. Every row but those with the query's own vec_id is a candidate, repeated rows
-each. Ties go to the smaller vec_id. No candidates, no rows.
+Edge cases: vectors that are null or hold null or non-finite components take no part, nor do vectors, of
+the table or the queries, of another length than most of the table's. Every row but those with the query's own vec_id is
+a candidate, repeated rows each. A query is a vec_id: if rows repeat it, the first of its vectors in order is
+asked for. Ties go to the smaller vec_id. No candidates, no rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SCALE = 1024
 SLICES = 6
 DIGITS = 6
 ROW_BLOCK = 16_384
-QUERY_BLOCK = 64
+QUERY_BLOCK = (64, 4096)
 
 
 def signed_digits(n: int) -> list[tuple[int, int]]:
@@ -171,8 +172,8 @@ def exact_topk(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Blocks of rows meet blocks of queries; each pair of blocks returns at most k rows a query.
     """
-    one = lambda df: usable_vectors(df).withColumn("cell", F.pmod("vec_id", F.lit(1)).cast("int"))
-    rows, asked = grid(one(table), one(queries), ROW_BLOCK, QUERY_BLOCK)
+    rows, asked = (df.withColumn("cell", F.lit(0)) for df in usable_vectors(table, queries))
+    rows, asked = grid(rows, asked, ROW_BLOCK, QUERY_BLOCK)
     keys = ["cell", "rb", "qb"]
     found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

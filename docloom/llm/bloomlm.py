@@ -12,10 +12,12 @@ of false positives, (1 - exp(-HASHES / ENTRY_BITS)) ** HASHES = 0.5 % a probe, i
 
 The model: with c the counts that the filter gives back and u(w) = (c(w) + 1) / (N + V + 1),
   P(w | v) = (c(v, w) + ALPHA * u(w)) / (c(v) + ALPHA).
-A document begins after the end of another; as every word has a next token, c(v) is v's count as context.
+A document begins after the end of another; as every word has a next token, c(v) is v's count as context. With exact counts
+the probabilities after v sum to 1; with quantised ones to within a factor of BASE ** 0.5 either way, and none is taken as above 1.
 
 Edge cases: a null or empty text is its end alone. A null id is neither held out nor learned from; its
-text is scored. Nothing learned: N = V = 0. Words and bigrams are told apart by 64-bit hashes.
+text is scored. Very long texts count whole. Repeated rows are learned from and scored each. Nothing learned: N = V = 0.
+An empty table gives no rows. Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, learned, release, save, scratch, small_batches, texts_of
+from .common import batch, learned, save, scratch, texts_of
 from .wordhash import U, mix, word_batches
 
 SEGMENTS = 256  # at least
@@ -294,15 +296,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``."""
     spark = docs.sparkSession
     held, use = learned("doc_id", 7, 2)
-    small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), use.alias("use"), F.col("text").cast("string").alias("text"))
     blocks = save(chosen.mapInArrow(_blocks, BLOCKS), scratch(spark, "lm-blocks"))
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     segments = max(SEGMENTS, -(-size // SEGMENT_TOKENS))
     asked = blocks.drop("size").mapInArrow(_ask(segments), ASKED)
     answers = save(asked.groupBy("segment").applyInArrow(_answer, ANSWERS), scratch(spark, "lm-answers"))
-    del asked
-    release(spark)  # the shuffle of the n-grams
     totals = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     told = answers.drop("n", "v")
     return blocks.drop("size", "counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(totals["n"], totals["v"]), SCORED)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,32 +12,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
-ROWS_PER_BATCH = 2000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of at most ``ROWS_PER_BATCH`` rows, on both sides of the pipe."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
-        spark.conf.set(name, ROWS_PER_BATCH)
-
-
 def chosen(docs: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     """The named columns of ``docs`` in these types and order, whatever others it has."""
     from pyspark.sql import functions as F
 
-    small_batches(docs.sparkSession)
     return docs.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns or (("doc_id", "long"), ("text", "string"))))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is set.
+    Only in local mode, where the session names none, a temporary folder is set; a cluster that names none is refused.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='docloom-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -48,25 +38,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage with files that outlive executors."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str, *folders: str) -> DataFrame:
+    """Write ``df`` once and read it back: cuts lineage with files that outlive executors.
+
+    The write's own shuffle files go when it ends. What isn't dropped before goes with the driver.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path, partitionBy=list(folders))
+    finally:
+        spark.conf.set(CLEANUP, before)
+    at, system = _file(spark, path)
+    system.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete staged tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        at, system = _file(spark, path)
+        system.delete(at, True)
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -109,32 +110,42 @@ def learned(column: str, modulus: int, left_out: int):
     return F.coalesce(rest == left_out, F.lit(False)), F.coalesce(rest != left_out, F.lit(False))
 
 
-def usable_vectors(table: DataFrame) -> DataFrame:
-    """vec_id and vec (array<double>) of vectors without null or non-finite components, of the most common length."""
+def usable_vectors(table: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, vec) of the table's and the queries' vectors without null or non-finite components, of one length.
+
+    The length is the table's most common one (of equally common ones the smallest). A query is a vec_id: of several
+    usable vectors under it the first in order is asked for.
+    """
     from pyspark.sql import functions as F
 
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.coalesce(bad, F.lit(True)))
+    def sound(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+        bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.coalesce(bad, F.lit(True)))
+
+    rows = sound(table)
     lengths = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("vec") == (lengths[0]["d"] if lengths else 0))
+    fits = F.size("vec") == (lengths[0]["d"] if lengths else 0)
+    return rows.where(fits), sound(queries).where(fits).groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def grid(rows: DataFrame, queries: DataFrame, row_block: int, query_block: int) -> tuple[DataFrame, DataFrame]:
+def grid(rows: DataFrame, queries: DataFrame, row_block: int, query_block: tuple[int, int], spread: int = 8) -> tuple[DataFrame, DataFrame]:
     """Both sides with columns cell, rb, qb: each row block of a cell meets each query block of that cell once.
 
     ``rows`` and ``queries`` have ``cell`` and ``vec_id``. A cell with many rows or queries is dealt out over
-    many groups of bounded size. The table of cells is bounded by the caller.
+    many groups of bounded size. Query blocks are as large as ``query_block`` (least, most) lets them, and no more
+    than ``spread`` in a cell if they can, as each costs a copy of the cell's rows. The table of cells is bounded by the caller.
     """
     from pyspark.sql import functions as F
 
     n = rows.groupBy("cell").agg(F.count("*").alias("n"))
     q = queries.groupBy("cell").agg(F.count("*").alias("q"))
-    cells = n.join(q, "cell").select("cell", F.ceil(F.col("n") / row_block).cast("int").alias("nb"), F.ceil(F.col("q") / query_block).cast("int").alias("qbs"))
+    size = F.least(F.lit(query_block[1]), F.greatest(F.lit(query_block[0]), F.ceil(F.col("q") / spread)))
+    cells = n.join(q, "cell").select("cell", F.ceil(F.col("n") / row_block).cast("int").alias("nb"), F.ceil(F.col("q") / size).cast("int").alias("qbs"))
     cells = F.broadcast(rows.sparkSession.createDataFrame(cells.collect(), "cell int, nb int, qbs int"))  # at most as many as there are cells
 
     def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(own_n)).cast("int")
+        block = F.pmod(F.xxhash64("vec_id", "vec", F.lit(own)), F.col(own_n)).cast("int")
         both = df.join(cells, "cell").withColumn(own, block)
         return both.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("nb", "qbs")
 

@@ -7,10 +7,11 @@ trigrams; a document takes the language whose prototype has the largest cosine w
 Bundling is linear, so a language's prototype comes from its trigram counts, and a document's inner
 products are sums over its trigrams of each trigram's product with the prototypes. The document's own
 norm is the same for all languages and cancels, in the choice and in ``score``: the chosen cosine as a share of
-all positive cosines.
+all positive cosines, 0 where none is positive.
 
 Edge cases: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Ties
-go to the language first in order. A null id is predicted but not learned from.
+go to the language first in order. A null id is predicted but not learned from. Very long texts count whole. Repeated rows are
+learned from and predicted each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chosen, learned, slices, small_batches, texts_of
+from .common import batch, chosen, learned, slices, texts_of
 
 SYMBOLS = 64
 DIMENSIONS = 2048
@@ -145,7 +146,6 @@ def _predict(prototypes: dict[str, np.ndarray], seed: int):
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 7) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row; the prototypes are one vector a language."""
     held_out, _ = learned("doc_id", 4, 2)
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(prototypes, seed), PREDICTED)
 
@@ -160,7 +160,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all columns) whose language is told; ``und`` rows go. Learns as :func:`langid` does."""
     _, use = learned("doc_id", 4, 2)
     known, at = learn(docs.where(use)), docs.columns.index("text")
-    small_batches(docs.sparkSession)
     predict = _predict(known, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,12 @@ on those counts with a segment tree over remaining capacities; each step places
 into a run of equally full sequences. The steps (a table bounded by the capacity, not by the data) go to
 all workers, where every piece finds its sequence and offset from its place among pieces of its length.
 
+That place is a piece's place in the file of its partition, plus how many of its length lie in earlier partitions. The
+latter are summed by partition and length and lie in small files beside the pieces, where each task reads those of
+its own partitions: neither the pieces nor their ids are shuffled.
+
 Edge cases: a null or empty text is the end id alone. Repeated rows and repeated or null doc_ids are
-each packed. An empty table gives no row. Only texts longer than the capacity are cut, into full pieces and a rest.
+each packed; pieces of equal length are placed in no stated order. An empty table gives no row. Only texts longer than the capacity are cut, into full pieces and a rest.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,21 +128,35 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
     return run
 
 
-PLACE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+CHUNK = 64  # partitions whose sums share a folder
 
 
-def _place(steps: np.ndarray):
+def _place(steps: np.ndarray, bases: str, kept: list[str]):
     keys = steps[:, 0] << 40 | steps[:, 1]
     order = np.argsort(keys)
     keys, steps = keys[order], steps[order]
 
+    def earlier(part: int) -> np.ndarray:
+        """By length, how many pieces lie in earlier partitions."""
+        store, root = pafs.FileSystem.from_uri(bases)
+        rows = pq.read_table(f"{root}/chunk={part // CHUNK}", filesystem=store, filters=[("part", "=", part)], partitioning=None)
+        found = np.zeros(int(steps[:, 0].max()) + 1, np.int64)
+        found[rows["length"].to_numpy()] = rows["base"].to_numpy()
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, base = -1, np.zeros(0, np.int64)
         for b in batches:
-            length, nth = b.column("length").to_numpy(), b.column("nth").to_numpy()
-            s = steps[np.searchsorted(keys, length << 40 | nth, side="right") - 1]
-            k = nth - s[:, 1]
+            length, nth, parts = (b.column(n).to_numpy() for n in ("length", "nth", "part"))
+            place = np.empty(len(nth), np.int64)
+            for part in np.unique(parts).tolist():  # a file's rows are of one partition
+                if part != of:
+                    of, base = part, earlier(part)
+                own = parts == part
+                place[own] = nth[own] + base[length[own]]
+            s = steps[np.searchsorted(keys, length << 40 | place, side="right") - 1]
+            k = place - s[:, 1]
             where = [pa.array(s[:, 3] + k // s[:, 4]), pa.array(s[:, 5] + k % s[:, 4] * length)]
-            kept = [n for n in b.schema.names if n != "nth"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *where], names=[*kept, "sequence_id", "offset"])
 
     return run
@@ -156,8 +176,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps, _ = plan_packing(counts, capacity)
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    base = sizes.select("part", "length", earlier.alias("base"))
+    bases = scratch(spark, "bases")
+    base = sizes.select("part", "length", earlier.alias("base"), F.floor(F.col("part") / CHUNK).cast("int").alias("chunk"))
+    save(base.repartition("chunk"), bases, "chunk")
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    numbered = pieces.join(base, ["part", "length"]).select(*kept, (F.col("base") + F.col("nth")).alias("nth"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long"
-    return numbered.mapInArrow(_place(steps), schema)
+    return pieces.select(*kept, "part", "nth").mapInArrow(_place(steps, bases, kept), schema)

@@ -10,7 +10,8 @@ is the last piece of its own encoding, and a piece may follow only if no merge a
 have come before the merges that formed the two: exactly one piece may (tested against the library).
 The words such a pass can't decide (runs of blanks, the mark itself) go to the library one by one.
 
-Edge cases: null and empty texts give no ids. Characters that no piece holds become byte pieces.
+Edge cases: null and empty texts give no ids. Characters that no piece holds become byte pieces. Very long texts count whole,
+word by word. Every row gives one row, repeated ones too; an empty table gives none.
 """
 
 from __future__ import annotations

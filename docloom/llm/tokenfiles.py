@@ -6,7 +6,8 @@ frequency over all documents, so that most ids take one byte; ``ranks`` turns ra
 Decoding looks control bytes up in a table of lengths and reads all ids of a file in a few numpy passes.
 
 Order and edge cases: documents lie in ascending doc_id, null ids first, repeated ids by text. A null
-text counts as empty; an empty text is the end id alone. An empty table gives no file.
+text counts as empty; an empty text is the end id alone. Repeated rows are written each, very long texts whole. An empty
+table gives no file.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, chosen, drop, release, save, scratch, slices, texts_of
+from .common import batch, chosen, drop, save, scratch, slices, texts_of
 from .wordids import encoder
 
 MAGIC = b"TOKRANK1"
@@ -168,8 +169,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
     staged = scratch(spark, "token-blocks")
     ordered = chosen(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = save(ordered.mapInArrow(_tokenise(tokenizer, end_id), BLOCKS), staged)
-    del ordered
-    release(spark)
     counts = blocks.where(F.col("block") == COUNTS).select("doc_ids", "lengths").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_rank = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
