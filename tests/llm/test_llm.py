@@ -4,17 +4,19 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, bitslice, bloomlm, langid, ngramjoin, packing, pieces, pii, tokencounts, tokenfiles
+from docloom.llm import ann, bitslice, bloomlm, common, langid, ngramjoin, packing, pieces, pii, tokencounts, tokenfiles, wordhash
 from docloom.llm.components import components
 from docloom.llm.queries import PIECE_BPE, WORD_BPE
 
@@ -40,6 +42,7 @@ def rows():
         out.append((200 + i, " ".join(w), "en"))
     out += [(300, None, "en"), (301, "", None), (302, "   \n\t ", "fr"), (303, "one two", "en"), (304, "one two", "en"), (None, "null id here too", "en"), (None, "", "en")]
     out += [(305, sentence(r, 30_000), "en"), (306, "A b\x0bC  d é É 漢字 <|endoftext|>'s", "fr"), (306, "repeated id", "fr"), (307, "123 456", None)]
+    out += [(303, "one two", "en"), (306, "repeated id", "fr"), (None, "", "en")]  # rows repeated whole
     return out
 
 
@@ -151,13 +154,45 @@ def test_join_of_a_large_group(spark, monkeypatch, bound):
     assert Counter(map(tuple, ngramjoin.ngram_join(docs, 4, 85, 100).collect())) == brute_components(rows, 4, 85)
 
 
-def test_join_counts_shared_grams_in_parts(monkeypatch):
-    monkeypatch.setattr(ngramjoin, "COLUMNS", 3)
+@pytest.mark.parametrize("cells", [1, 500, 1 << 24])
+def test_trie_walk_finds_all_overlaps(monkeypatch, cells):
+    monkeypatch.setattr(ngramjoin, "CELLS", cells)
     r = np.random.Generator(np.random.PCG64(5))
-    grams = [np.unique(r.integers(0, 30, n)) for n in (1, 9, 14, 20, 2)]
-    got = ngramjoin._shared(grams, np.array([0, 1, 3]), np.array([2, 4]))
-    assert got.tolist() == [[len(np.intersect1d(grams[a], grams[b])) for b in (2, 4)] for a in (0, 1, 3)]
-    assert ngramjoin._shared([np.array([1]), np.array([2])], np.array([0]), np.array([1])).tolist() == [[0]]
+    counts = r.integers(0, 9, ngramjoin.COUNTERS).astype("<u4")
+    for size in (5, 30, 200):
+        sets = [np.unique(r.integers(0, size, r.integers(1, 25), dtype=np.uint64)) for _ in range(30)]
+        asked = [np.unique(r.integers(0, size, r.integers(1, 25), dtype=np.uint64)) for _ in range(20)]
+        least = r.integers(0, 9, (30, 20))
+        least[3] = np.iinfo(np.int32).max
+        want = [[len(np.intersect1d(a, b)) >= least[i, j] for j, b in enumerate(asked)] for i, a in enumerate(sets)]
+        assert ngramjoin.Trie(sets, counts).reach(asked, least).tolist() == want
+
+
+def test_prefix_is_of_one_total_order():
+    r = np.random.Generator(np.random.PCG64(6))
+    counts = r.integers(1, 4, ngramjoin.COUNTERS).astype("<u4")
+    grams = np.unique(r.integers(0, 2**63, 300, dtype=np.uint64))
+    order = sorted(grams.tolist(), key=lambda g: (counts[g & (ngramjoin.COUNTERS - 1)], g))
+    for many in (1, 7, 150, 299, 300, 400):
+        assert sorted(ngramjoin.first_grams(grams, many, counts).tolist()) == sorted(order[:many])
+
+
+@pytest.mark.parametrize("bound", [2, 10**6])
+def test_blocks_meet_wherever_sizes_can_link(spark, monkeypatch, bound):
+    monkeypatch.setattr(ngramjoin, "GROUP", bound)
+    r = random.Random(9)
+    rows = [(bytes([m]), r.randrange(2), bytes([m, c]), r.randrange(1, 400)) for m in range(4) for c in range(12 * m + 2)]
+    dealt = ngramjoin.deal(spark.createDataFrame(rows, "mid binary, kind int, class binary, n int"), 85, 100).collect()
+    cells = defaultdict(set)
+    for x in dealt:
+        cells[bytes(x["class"])].add((x["i"], x["j"]))
+    met = 0
+    for m, kind, a, n in rows:
+        for m2, kind2, b, n2 in rows:
+            if a < b and m == m2 and not (kind and kind2) and 100 * min(n, n2) >= 85 * max(n, n2):
+                assert cells[a] & cells[b]
+                met += 1
+    assert met and len(dealt) == len({(bytes(x["class"]), x["i"], x["j"]) for x in dealt})
 
 
 def test_join_of_nothing(empty):
@@ -167,8 +202,20 @@ def test_join_of_nothing(empty):
 def test_one_of_each(docs, rows):
     kept = [tuple(r) for r in ngramjoin.one_of_each(docs).select("doc_id", "text").collect()]
     want = {doc for doc, _, c in brute_components(rows, 5, 80) if doc == c}
-    assert {d for d, _ in kept} == want
-    assert len(kept) == len(set(kept))
+    # of the rows under a repeated id, each that is alone in its component stays
+    assert {d for d, _ in kept} == want | {None}
+    assert len(kept) == len(set(kept)) and Counter(d for d, _ in kept)[306] == 2
+
+
+def test_one_of_each_goes_by_row(spark):
+    """Rows of one id go by their own texts; equal rows leave one, whatever the other columns; null ids come last."""
+    w, other = sentence(random.Random(1), 30), sentence(random.Random(2), 30)
+    rows = [(1, w, 1), (2, other, 2), (2, w, 3), (3, w, 4), (3, w, 5), (None, w, 6), (None, "alone here", 7), (None, "alone here", 8), (None, None, 9), (4, None, 10), (4, "", 11)]
+    kept = {tuple(r)[:2] for r in ngramjoin.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()}
+    assert kept == {(1, w), (2, other), (None, "alone here"), (None, None), (4, None), (4, "")}
+    again = spark.createDataFrame(list(reversed(rows)), "doc_id long, text string, extra int").repartition(4)
+    one, two = (sorted(map(tuple, ngramjoin.one_of_each(x).collect()), key=repr) for x in (again, again.repartition(2)))
+    assert one == two and len(one) == 6
 
 
 def test_trie_finds_what_all_pairs_find():
@@ -177,7 +224,7 @@ def test_trie_finds_what_all_pairs_find():
         base = rng.integers(0, 2**63, 60, dtype=np.uint64)
         sets = [np.unique(np.concatenate([base[rng.random(60) < rng.choice([0.5, 0.9, 0.97, 1])], rng.integers(0, 2**63, rng.integers(1, 8), dtype=np.uint64)])) for _ in range(20)]
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[0])) >= num * len(np.union1d(s, sets[0]))]
-        assert sorted(ngramjoin.Trie(sets).linked(sets[0], num, 100)) == want
+        assert sorted(ngramjoin.Trie(sets, np.ones(ngramjoin.COUNTERS, "<u4")).linked(sets[0], num, 100)) == want
 
 
 def test_components(spark):
@@ -245,6 +292,41 @@ def test_ann_recall_and_scores(vectors, monkeypatch):
     assert ann.ann(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths_take_no_part(spark):
+    """One length for both sides, the table's most common; a repeated query asks for its first vector in order."""
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(100 + i, [1.0, 2.0, 3.0]) for i in range(40)]
+    rows += [(200, [1.0] * 8), (200, [-1.0] * 8), (300, [0.5] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = table.where("vec_id >= 100").unionByName(spark.createDataFrame([(7, None), (8, [0.1] * 5)], table.schema))
+    top = bitslice.exact_topk(table, queries, 3).collect()
+    assert {(x["query_id"], x["rank"]) for x in top} == {(q, n) for q in (200, 300) for n in (1, 2, 3)} and len(top) == 6
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if len(v) == 8]
+    for q, v in ((200, [-1024] * 8), (300, [512] * 8)):
+        want = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in whole if i != q)[:3]
+        assert [(x["vec_id"], x["score"]) for x in sorted(top, key=lambda x: x["rank"]) if x["query_id"] == q] == [(i, -s) for s, i in want]
+    near = ann.ann(table, queries, 3).collect()
+    assert {(x["query_id"], x["rank"]) for x in near} == {(q, n) for q in (200, 300) for n in (1, 2, 3)} and len(near) == 6
+    assert all(x["vec_id"] < 100 or x["vec_id"] >= 200 for x in top + near)
+
+
+def test_ann_probes_on_until_it_has_enough(spark):
+    """Tight clusters smaller than k, and a query id that many rows repeat: every query still gets its k."""
+    r = random.Random(6)
+    rows, i = [], 0
+    for _ in range(150):
+        centre = [r.gauss(0, 1) for _ in range(12)]
+        for _ in range(r.choice([1, 2, 3, 40])):
+            rows.append((i, [c + r.gauss(0, 1e-3) for c in centre]))
+            i += 1
+    rows += [(10**6, rows[0][1])] * 50
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(x["query_id"] for x in ann.ann(table, table, 5).collect())
+    assert set(got.values()) == {5} and len(got) == i + 1
+    few = table.where("vec_id < 4")
+    assert Counter(x["query_id"] for x in ann.ann(few, few, 5).collect()) == {n: 3 for n in range(4)}
+
+
 # 4 ------------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -303,6 +385,11 @@ def test_disguises_map_back(text, kind, span):
         ("fax +1 415 555 1 \u017fIX", "phone", "+1 415 555 1 \u017fIX"),
         ("pay \uff14111 1111 1111 1111 one by one", "card", "\uff14111 1111 1111 1111"),
         ("pay 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("ask john at example.com now", "email", "john at example.com"),
+        ("ask bob at mail.example dot com now", "email", "bob at mail.example dot com"),
+        ("call +1 five five five 123 4567 now", "phone", "+1 five five five 123 4567"),
+        ("pide a ana (arroba) correo (punto) es hoy", "email", "ana (arroba) correo (punto) es"),
+        ("bob[at]example[.]com", "email", "bob[at]example[.]com"),
     ],
 )
 def test_each_disguise_alone(text, kind, span):
@@ -323,11 +410,20 @@ def test_digits_of_other_languages(words):
     assert [pii.digit_of(w) for w in words.upper().split()] == list("0123456789")
 
 
-@pytest.mark.parametrize("text", ["", "look at the dot in one two three", "we met at noon", "zero one two three four five six seven", "naïve café à 3 euros", "version 1.2.3"])
+@pytest.mark.parametrize("text", ["", "look at the dot in one two three", "we met at noon", "zero one two three four five six seven", "naïve café à 3 euros", "version 1.2.3", "visit us at example.com", "Look at amazon.com today", "see more at x.org", "they met at noon. It rained"])
 def test_clean_text_is_left_alone(text):
     assert not any(pii.all_spans(text)[1].values()) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize("text", ["see [at ", "x at", "[ ", "one ", "a at ", "at dot ", "(", " ", "plus ", "a.", "five-", "1.", "+1 ", "a@"])
+def test_long_runs_are_read_in_linear_time(text):
+    """A million characters of a run, and of one blank run, take seconds; a quadratic pass would take hours."""
+    began = time.monotonic()
+    pii.all_spans(text * (10**6 // len(text)))
+    pii.all_spans(text + " " * 10**6 + text)
+    assert time.monotonic() - began < 20
+
+
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_any_text_keeps_its_base_spans(text):
@@ -362,6 +458,67 @@ def test_token_counts(docs, rows, library, empty):
     assert json == {303: 2}
 
 
+def test_calls_are_bounded_for_one_text_as_for_many():
+    texts = ["word " * 300_000, "x", "", "é" * 10, "y" * (1 << 21), "z " * 5]
+    parts = [(i, p) for i, t in enumerate(texts) for p in tokencounts.safe_parts(t)]
+    made = list(tokencounts.calls(iter(parts)))
+    assert [(o, t) for owners, some in made for o, t in zip(owners, some, strict=True)] == parts
+    sizes = [sum(len(t.encode()) for t in some) for _, some in made]
+    assert len(made) > 2 and all(size <= tokencounts.BATCH or len(some) == 1 for size, (_, some) in zip(sizes, made, strict=True))
+    assert sum(size > tokencounts.BATCH for size in sizes) == 1  # the text without a safe boundary
+
+
+@pytest.mark.parametrize("change", ["charsmap", "prefix", "suffix", "piece"])
+def test_models_that_normalise_get_whole_texts(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(PIECE_BPE, "rb") as f:
+        model.ParseFromString(f.read())
+    if change == "charsmap":
+        model.normalizer_spec.normalization_rule_tsv = "x"
+    elif change == "prefix":
+        model.normalizer_spec.add_dummy_prefix = False
+    elif change == "suffix":
+        model.trainer_spec.treat_whitespace_as_suffix = True
+    else:
+        model.pieces[500].piece = "a▁b"
+    path = tmp_path / "own.model"
+    path.write_bytes(model.SerializeToString())
+    assert not tokencounts.counter(str(path))[1]
+
+
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="the'sSTRE \n\t19éÉßİſ漢.,<|endoftx>-\u0301\u200b\u00a0", max_size=60)))
+@settings(max_examples=500, deadline=None)
+def test_words_are_the_librarys(text):
+    from docloom.llm.wordids import encoder
+
+    coder = encoder(WORD_BPE)
+    ids = coder.words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(coder.encode([text])[0], coder.dtype).tolist() == ids
+
+
+def test_other_tokenizers_get_whole_texts():
+    from docloom.llm.wordids import by_word, encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = encoder(path)
+    assert by_word(WORD_BPE) and not by_word(path)
+    texts = ["Hello  World\n\n's", "", None, "a <|endoftext|> b"]
+    want = [coder.words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == want
+
+
+@pytest.mark.parametrize("most", [7, 50, 1 << 20])
+def test_long_texts_hash_like_their_words(most):
+    r = random.Random(1)
+    text = "".join(r.choice("abÉ \n\t漢") for _ in range(2000)) + "x" * 300 + " end"
+    column = pa.array(["short one", text, "", "tail"], pa.large_string())
+    got = {i + n: words[a:b].tolist() for i, words, at in wordhash.word_batches(column, most) for n, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))}
+    want = {i: words[at[0] : at[1]].tolist() for i in range(4) for words, at in [wordhash.hash_words(*common.buffers(column.slice(i, 1)))]}
+    assert got == want and len(got[1]) == len(re.findall(r"[^ \n\t]+", text))
+
+
 @given(st.text(alphabet="ab ▁\ncé漢.", max_size=80), st.integers(2, 20))
 @settings(max_examples=300, deadline=None)
 def test_cut_texts_count_the_same(text, most):
@@ -428,6 +585,34 @@ def test_languages_held_out(spark, empty):
     assert {r["lang_pred"] for r in langid.langid(unlabelled).collect()} == {"und"}
 
 
+def test_predictions_are_cosines_of_bundles(spark):
+    """Against vectors formed one by one: every trigram bound, every text and language bundled, cosines compared."""
+    r = random.Random(3)
+    words = {g: [f"{a}{b}{c}" for a in x for b in y for c in x] for g, x, y in (("p", "bdgk", "ae"), ("q", "mnlr", "io"), ("s", "tszf", "uy"))}
+    rows = [(i, " ".join(r.choice(words[g if r.random() < 0.7 else r.choice("pqs")]) for _ in range(r.randrange(1, 30))), g) for i, g in enumerate(r.choice("pqs") for _ in range(200))]
+    rows += [(5, rows[5][1], rows[5][2]), (900, "b" * 3, None), (901, "Ünï çödé", None)]
+    letters = langid.letter_vectors(langid.DIMENSIONS, 7).astype(float)
+
+    def bundle(text):
+        symbols = [0, *(int(langid.letter_table()[ord(c)]) for c in text), 0]
+        total = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+            if b:
+                total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return total
+
+    known = {g: sum(bundle(t) for i, t, x in rows if x == g and zlib.crc32(str(i).encode()) % 4 != 2) for g in "pqs"}
+    want = []
+    for i, t, _ in rows:
+        v = bundle(t)
+        cosines = {g: v @ k / np.linalg.norm(v) / np.linalg.norm(k) for g, k in known.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        positive = sum(max(x, 0) for x in cosines.values())
+        want.append((i, best, round(cosines[best] / positive, 9) if positive else 0.0))
+    got = langid.langid(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert sorted((x["doc_id"], x["lang_pred"], round(x["score"], 9)) for x in got) == sorted(want)
+
+
 def test_bundles_are_linear():
     letters = langid.letter_vectors(64, 1)
     codes, owner = langid.trigrams(["Ab c", "ß"])
@@ -452,6 +637,25 @@ def test_language_model_base_is_exact(docs, rows, empty):
     assert bloomlm.score_texts(empty).count() == 0
 
 
+def test_language_model_scores_are_its_formula(docs, rows):
+    """Against exact bigram counts, quantised alike: only the filter's few false positives differ."""
+    words = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None] for _, t, _ in rows]
+    learn = [ws for (i, _, _), ws in zip(rows, words, strict=True) if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(w for ws in learn for w in ws), Counter(p for ws in learn for p in zip([None, *ws], ws, strict=False))
+    total = sum(c.values()) + len(c) + 1
+    level = {n: float(bloomlm.count_of(bloomlm.levels_of([n]))[0]) for n in {0, *c.values(), *pairs.values()}}
+
+    def score(ws):
+        probability = lambda v, w: (level[pairs[v, w]] + bloomlm.ALPHA * (level[c[w]] + 1) / total) / (level[c[v]] + bloomlm.ALPHA)
+        return sum(math.log10(min(1.0, probability(v, w))) for v, w in zip([None, *ws], ws, strict=False))
+
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in bloomlm.score_texts(docs).collect())
+    want = sorted((i is not None, i or 0, len(ws), score(ws)) for (i, _, _), ws in zip(rows, words, strict=True))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    off = np.array([abs(a[3] - b[3]) / b[2] for a, b in zip(got, want, strict=True)])
+    assert off.mean() < 0.01 and np.median(off) < 0.005 and (off < 1e-9).sum() > len(off) / 4
+
+
 def test_language_model_counts_bigrams_of_rare_words(spark):
     r = random.Random(8)
     train = [f"{a} {b}" for a, b in (r.sample([f"w{k}" for k in range(20_000)], 2) for _ in range(20_000))] + ["rare pair"] * 3 + ["rare else", "other pair"]
@@ -556,20 +760,91 @@ def test_packing_rows(docs, rows, word_bpe, empty):
 # the pipeline -------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, docs, tmp_path):
+def expected_pipeline(documents, word_bpe):
+    """The pipeline by brute force: (doc_id, piece, start, length, ids) of every piece; languages are only told apart from none."""
+    told = [r for r in documents if any(c.isalpha() for c in r["text"] or "")]
+    member = {}
+    for r, (_, _, c) in zip(told, brute_members([(r["doc_id"], r["text"], None) for r in told], 5, 80), strict=True):
+        key = (r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5(f"{'?' if r['doc_id'] is None else r['doc_id']}+{r['text']}".encode()).digest())
+        member[c] = min(member.get(c, (key, r)), (key, r), key=lambda x: x[0])
+    want = Counter()
+    for _, r in member.values():
+        ids = word_bpe(pii.redact(r["text"]))
+        for p, at in enumerate(range(0, len(ids), 4096)):
+            want[r["doc_id"], p, at, len(ids[at : at + 4096]), ids[at : at + 4096].tobytes()] += 1
+    return want
+
+
+def brute_members(rows, k, num):
+    """(doc_id, size, component number) of each row."""
+    sets = [grams(t, k) for _, t, _ in rows]
+    at = list(range(len(rows)))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                at[find(a)] = find(b)
+    return [(doc, len(sets[i]), find(i)) for i, (doc, _, _) in enumerate(rows)]
+
+
+def test_pipeline(spark, docs, tmp_path, word_bpe):
+    """Every row against brute force: who stays, what is redacted, each piece's ids, sequences without gaps; odd rows and all."""
     import corpus_pipeline
 
     path = f"file://{tmp_path}"
-    documents = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    personal = [(2000 + i, f"{sentence(random.Random(i), 12)} mail jo{i}@x.org or ann (at) y{i} dot com, 10.0.0.{i}", "en", "s", 1) for i in range(5)]
+    documents = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(personal, "doc_id long, text string, lang string, source string, n_chars long"))
     documents.write.parquet(f"{path}/documents.parquet")
     out = corpus_pipeline.run(spark, path).collect()
-    told = [r for r in documents.collect() if any(c.isalpha() for c in r["text"] or "")]
-    kept = {d for d, _, c in brute_components([(r["doc_id"], r["text"], None) for r in told], 5, 80) if d == c}
-    assert {r["doc_id"] for r in out} == kept
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in out)
+    assert got == expected_pipeline(documents.collect(), word_bpe)
+    by = defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["ids_crc32"] == zlib.crc32(bytes(r["ids"]))
+    for v in by.values():
+        ends = np.cumsum([n for _, n in sorted(v)])
+        assert [o for o, _ in sorted(v)] == [0, *ends[:-1].tolist()] and ends[-1] <= 4096
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "pii", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, documents, path).columns == documents.columns
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_no_shared_folder_on_a_cluster_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(Session())
+
+
+def test_settings_stay_as_they_were(spark, docs):
+    names = (common.CLEANUP, "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    bloomlm.score_texts(docs).count()
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_tokenizers_are_installed():
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_BPE
