@@ -45,20 +45,29 @@ COUNTERS = 1 << 20
 PIECE = 1 << 16
 GROUP = 256
 GRAMS = 1 << 20
-CELLS = 1 << 24
+CELLS = 1 << 21  # of a walk's tables
 BLOCK_TURNS = 2
 NO_ID = np.iinfo(np.int64).max
 
 
-def class_keys(sets: list[np.ndarray]) -> list[bytes]:
-    """A 128-bit key of each set of hashed n-grams; an empty set's is zero."""
+def class_halves(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit key of each set of hashed n-grams, as two numbers; an empty set's is zero."""
     keys = np.zeros((len(sets), 2), np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
     if some := np.flatnonzero(sizes).tolist():
         grams, starts = np.concatenate([sets[i] for i in some]), np.cumsum(sizes[some]) - sizes[some]
         for place, salt in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)):
             keys[some, place] = mix(np.add.reduceat(mix(grams * U(salt) + U(place)), starts) + sizes[some].astype(np.uint64))
-    return [k.tobytes() for k in keys]
+    return keys
+
+
+def class_keys(sets: list[np.ndarray]) -> list[bytes]:
+    return [k.tobytes() for k in class_halves(sets).astype(">u8")]
+
+
+def class_of(high: str, low: str) -> Column:
+    """The key of two halves."""
+    return F.unhex(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
 
 
 ROWS = "doc_id long, row binary, class binary, n int, piece int, counts binary"
@@ -100,7 +109,7 @@ def prefix(n, num: int, den: int):
     return n + (-num * n // den) + 1
 
 
-POSTINGS_ARROW = pa.schema([("gram", pa.int64()), ("class", pa.binary()), ("n", pa.int32())])
+POSTINGS_ARROW = pa.schema([("gram", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n", pa.int32())])
 
 
 def first_grams(grams: np.ndarray, many: int, counts: np.ndarray) -> np.ndarray:
@@ -124,8 +133,8 @@ def _postings(k: int, sketch, num: int, den: int):
                 if sets:
                     first = [first_grams(s, prefix(len(s), num, den), counts) for s in sets]
                     times = [len(f) for f in first]
-                    classes = pa.array(class_keys(sets), pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), times)))
-                    yield batch(POSTINGS_ARROW, gram=np.concatenate(first).view(np.int64), **{"class": classes}, n=np.repeat(np.array([len(s) for s in sets], np.int32), times))
+                    high, low = np.repeat(class_halves(sets).view(np.int64), times, axis=0).T
+                    yield batch(POSTINGS_ARROW, gram=np.concatenate(first).view(np.int64), high=high, low=low, n=np.repeat(np.array([len(s) for s in sets], np.int32), times))
 
     return run
 
@@ -181,8 +190,7 @@ class Trie:
         for column, grams in enumerate(asked):
             at = np.minimum(np.searchsorted(self.every, grams), len(self.every) - 1)
             held[self.rank[at[self.every[at] == grams]], column] = 1
-        left = np.zeros((len(self.grams) + 1, len(asked)), np.int32)  # of each of asked, from a rank on
-        left[:-1] = np.cumsum(held[::-1], axis=0)[::-1]
+        left = np.cumsum(held[::-1], axis=0, dtype=np.int32)[::-1]  # of each of asked, from a rank on
         shared, lengths = np.array([*self.shared, 0]), np.array([len(p) for p in self.paths])
         need = least[self.order]
         sums = np.zeros((int(lengths.max()) + 1, len(asked)), np.int32)
@@ -194,7 +202,7 @@ class Trie:
             rest = len(path) - at
             bound = left[path[at]] if rest else 0
             if (sums[at] + np.minimum(rest, bound) >= need[i]).any():
-                sums[at + 1 : len(path) + 1] = sums[at] + np.cumsum(held[path[at:]], axis=0)
+                sums[at + 1 : len(path) + 1] = sums[at] + np.cumsum(held[path[at:]], axis=0, dtype=np.int32)
                 known = len(path)
                 found[i] = sums[known] >= need[i]
                 i += 1
@@ -398,9 +406,10 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         whole[r["piece"]] += np.frombuffer(r["counts"], "<u4")
     sketch = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype("<u4").tobytes())  # COUNTERS numbers, whatever the input
 
-    postings = kept(docs.select("text").mapInArrow(_postings(k, sketch, num, den), "gram long, class binary, n int"), "postings")
-    several = postings.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
-    lists = kept(postings.join(several, "gram", "left_semi").distinct(), "lists")
+    postings = kept(docs.select("text").mapInArrow(_postings(k, sketch, num, den), "gram long, high long, low long, n int"), "postings")
+    several = postings.groupBy("gram").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("high", "low"))).where("least_high < most_high OR least_low < most_low").select("gram")
+    lists = postings.join(several, "gram", "left_semi").distinct()
+    lists = kept(lists.select("gram", class_of("high", "low").alias("class"), "n"), "lists")
     drop(spark, paths[1])
     # a class that shares much of its prefix is near the middle of its group: such make the best pivots
     shares = lists.groupBy("class").agg((-F.count("*")).alias("rank"))
