@@ -47,6 +47,7 @@ GROUP = 256
 GRAMS = 1 << 20
 CELLS = 1 << 21  # of a walk's tables
 BLOCK_TURNS = 2
+SALTS = 16
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -383,7 +384,9 @@ def finish(groups: DataFrame, sets: DataFrame, num: int, den: int, sketch) -> Da
     """Links between classes of different labels of each of ``groups``, from all pairs of its blocks but those of its largest label."""
     labels = groups.groupBy("mid", "label").agg(F.count("*").alias("c"))
     tops = labels.groupBy("mid").agg(F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("top")).where("c > top.c").select("mid", F.col("top.label").alias("top"))
-    rows = groups.join(tops, "mid").withColumn("kind", F.when(F.col("label") == F.col("top"), 1).otherwise(0)).drop("top")
+    salt = F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")  # a group with most of all classes is spread
+    tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = groups.withColumn("salt", salt).join(tops, ["mid", "salt"]).withColumn("kind", F.when(F.col("label") == F.col("top"), 1).otherwise(0)).drop("top", "salt")
     dealt = deal(rows, num, den).select("mid", "i", "j", "own", "class", "label", "rank")
     return dealt.join(sets, "class").groupBy("mid", "i", "j").applyInArrow(_connect(num, den, sketch, True), LINKS)
 
@@ -407,8 +410,9 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     sketch = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype("<u4").tobytes())  # COUNTERS numbers, whatever the input
 
     postings = kept(docs.select("text").mapInArrow(_postings(k, sketch, num, den), "gram long, high long, low long, n int"), "postings")
-    several = postings.groupBy("gram").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("high", "low"))).where("least_high < most_high OR least_low < most_low").select("gram")
-    lists = postings.join(several, "gram", "left_semi").distinct()
+    # lists of more than one class; of two classes within a list half the key tells them apart
+    several = postings.groupBy("gram").agg(F.min("high").alias("least"), F.max("high").alias("most")).where("least < most").select("gram")
+    lists = postings.join(several.hint("merge"), "gram", "left_semi").distinct()  # it grows with the input: never broadcast
     lists = kept(lists.select("gram", class_of("high", "low").alias("class"), "n"), "lists")
     drop(spark, paths[1])
     # a class that shares much of its prefix is near the middle of its group: such make the best pivots
