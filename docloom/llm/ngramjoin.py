@@ -140,6 +140,36 @@ def _postings(k: int, sketch, num: int, den: int):
     return run
 
 
+FILTER_BITS = 1 << 24  # of the filter of ids whose sets are made, whatever the input
+
+
+def filter_places(id: str) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(id, F.lit(salt)), F.lit(FILTER_BITS)).cast("int") for salt in (1, 2)))
+
+
+def id_filter(wanted: DataFrame) -> bytes:
+    """A Bloom filter of ids (doc_id) of ``FILTER_BITS`` bits."""
+    at = F.explode(filter_places("doc_id")).alias("at")
+    some = wanted.select(at).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in some.collect():  # at most as many rows as the filter has buckets
+        bits[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return bits.tobytes()
+
+
+def _filtered(found):
+    """Rows (doc_id, text, at) whose places are all set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(found.value, np.uint8)
+        for b in batches:
+            at = b.column(2).flatten().to_numpy().reshape(-1, 2)
+            hit = (bits[at >> 3] >> (at & 7) & 1).all(axis=1)
+            yield b.select(["doc_id", "text"]).filter(pa.array(hit))
+
+    return run
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -420,17 +450,23 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     lists = kept(lists.join(shares, "class").select("gram", "class", "n", "rank"), "lists")
     groups = kept(candidates(lists, num, den, sketch), "groups")
     members = rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "row")).alias("first"))
-    wanted = groups.select("class").distinct().join(members, "class").select(F.nullif("first.doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
-    sets = kept(texts.mapInArrow(_sets(k), "class binary, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
-    large = not groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1").isEmpty()
+    # only texts that a small filter lets through are shuffled by id; whole sets are made of those asked for
+    wanted = kept(groups.select("class").distinct().join(members, "class").select(F.nullif("first.doc_id", F.lit(NO_ID)).alias("doc_id")).distinct(), "wanted")
+    found = spark.sparkContext.broadcast(id_filter(wanted))
+    texts = docs.select("doc_id", "text", filter_places("doc_id").alias("at")).mapInArrow(_filtered(found), "doc_id long, text string")
+    texts = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
+    blocks = groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1")
+    spread = kept(groups.join(blocks, "mid").select("class").distinct().withColumn("large", F.lit(True)), "spread")
+    large = not spread.isEmpty()
+    made = texts.mapInArrow(_sets(k), "class binary, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
+    sets = kept(made.join(spread, "class", "left"), "sets")  # of large groups' classes marked, as only theirs take turns
     labels = groups.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
     for turn in range(BLOCK_TURNS + 1 if large else 1):
         labelled = groups.join(labels.withColumnRenamed("node", "class"), "class")
         if turn < BLOCK_TURNS and large:
-            links = connect_blocks(labelled, sets, turn, num, den, sketch)
+            links = connect_blocks(labelled, sets.where("large").drop("large"), turn, num, den, sketch)
         else:
-            links = finish(labelled, sets, num, den, sketch)
+            links = finish(labelled, sets.drop("large"), num, den, sketch)
         links = kept(links, "found")
         of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         edges = links.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))

@@ -195,6 +195,13 @@ def test_blocks_meet_wherever_sizes_can_link(spark, monkeypatch, bound):
     assert met and len(dealt) == len({(bytes(x["class"]), x["i"], x["j"]) for x in dealt})
 
 
+def test_id_filter_lets_all_through_that_it_holds(spark):
+    ids = spark.createDataFrame([(i * i - 40,) for i in range(500)] + [(None,)], "doc_id long")
+    bits = np.frombuffer(ngramjoin.id_filter(ids), np.uint8)
+    hit = lambda df: [all(bits[a >> 3] >> (a & 7) & 1 for a in r["at"]) for r in df.select(ngramjoin.filter_places("doc_id").alias("at")).collect()]
+    assert len(bits) * 8 == ngramjoin.FILTER_BITS and all(hit(ids)) and sum(hit(spark.range(10**6, 10**6 + 3000).withColumnRenamed("id", "doc_id"))) == 0
+
+
 def test_join_of_nothing(empty):
     assert ngramjoin.ngram_join(empty).count() == 0
 
