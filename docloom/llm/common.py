@@ -39,20 +39,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 2000  # handed to Python at a time while a table is staged
 
 
 def save(df: DataFrame, path: str, *folders: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage with files that outlive executors.
 
-    The write's own shuffle files go when it ends. What isn't dropped before goes with the driver.
+    The write's own shuffle files go when it ends, and the session's settings are then as they were. What isn't dropped
+    before goes with the driver.
     """
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP)
+    before = {name: spark.conf.get(name) for name in (CLEANUP, ROWS)}
     spark.conf.set(CLEANUP, "true")
+    if not 0 < int(before[ROWS]) <= ROWS_PER_BATCH:
+        spark.conf.set(ROWS, ROWS_PER_BATCH)
     try:
         df.write.option("compression", "zstd").parquet(path, partitionBy=list(folders))
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     at, system = _file(spark, path)
     system.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
