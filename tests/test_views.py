@@ -1,5 +1,6 @@
 """Merging, targets, configuration, streaming, and all queries against DuckDB."""
 
+import json
 import random
 import re
 from decimal import Decimal
@@ -423,6 +424,44 @@ def test_ranges_and_pages(spark):
     assert readers.bounds(path, "k", 4) == []
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from docloom.__main__ import main
+
+    def said():
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    config, broken = tmp_path / "shop.toml", tmp_path / "broken.toml"
+    spark.read.parquet(f"{DATA}/nation.parquet").limit(20).write.parquet(f"file://{tmp_path}/data/nation.parquet")
+    config.write_text(f"""
+[source]
+tables = "file://{tmp_path}/data"
+changes = "file://{tmp_path}/log"
+[store]
+root = "file://{tmp_path}/views"
+buckets = 2
+[[sync.tables]]
+table = "nation"
+index = "nations"
+key = ["n_nationkey"]
+""")
+    broken.write_text('[source]\ntables = "x"\n[store]\nroot = "y"\n[[sync.tables]]\ntable = "t"\nindex = "Bad"\nkey = ["k"]\n')
+    assert main(["example"]) == 0 and "[[sync.tables]]" in capsys.readouterr().out
+    assert main(["validate", str(config)]) == 0 and main(["validate", str(config), str(broken)]) == 2
+    assert "index name" in said()[0]["fault"]
+    row = spark.read.parquet(f"{tmp_path}/data/nation.parquet").schema
+    change = spark.createDataFrame([("insert", (90, "NEW", 1), 5, 5), ("delete", (90, "NEW", 1), 6, 6), ("insert", (91, "NEWER", 1), 7, 7)], T.StructType([T.StructField("op", T.StringType()), T.StructField("after", row), T.StructField("version", T.LongType()), T.StructField("seq", T.LongType())]))
+    made = change.withColumns({"key": F.struct(F.col("after.n_nationkey").alias("n_nationkey")), "after": F.when(F.col("op") == "insert", F.col("after"))})
+    log_rows(made, "public", "nation").write.parquet(f"file://{tmp_path}/log")
+    assert main(["run", str(config)], spark) == 0 and said() == [{"config": "shop", "fault": None}]
+    assert main(["status", str(config), "--position", "7"], spark) == 0 and said()[0] == {"acked": 7, "caught_up": True, "behind": 0, "rejects": 0}
+    assert main(["reconcile", str(config), "--delete"], spark) == 0 and said() == [{"table": "nation", "scanned": 21, "orphaned": 1}]
+    assert main(["reload", str(config), "--table", "nation", "--where", "n_nationkey < 3", "--version", "9"], spark) == 0
+    assert main(["reload", str(config), "--table", "none"], spark) == 1 and "no view" in said()[0]["fault"]
+    assert main(["reindex", str(config), "--table", "nation", "--alias", "nations-now"], spark) == 0 and said()[0]["verdict"] == "exact"
+    assert main(["alias", str(config), "--alias", "old", "--index", "nations"], spark) == 0
+    assert main(["load", str(config)], spark) == 0 and main(["rejects", str(config), "--retry"], spark) == 0 and said()[-1] == {"total": 0}
+
+
 SKIPPED = {"stream_equals_batch"}  # its own test below
 
 
