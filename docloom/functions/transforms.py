@@ -162,7 +162,7 @@ def pseudonym(key_env: str, scope: str):
     @F.pandas_udf("string")
     def tokens(texts: pd.Series) -> pd.Series:
         siv = Siv(key)
-        made = {t: siv.token(scope, t) for t in texts.dropna().unique()}
-        return texts.map(made)
+        some = texts.dropna().unique().tolist()
+        return texts.map(dict(zip(some, siv.tokens(scope, some), strict=True)))
 
     return tokens
