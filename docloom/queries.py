@@ -355,11 +355,12 @@ def fanout_null_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT event_type AS index, user_id::VARCHAR AS id FROM events WHERE event_id % 2 = 0), a AS (SELECT event_type, user_id::VARCHAR FROM events WHERE event_id % 2 = 1 AND event_type <> 'view')
+    WITH b AS (SELECT DISTINCT event_type AS index, user_id::VARCHAR AS id FROM events), a AS (SELECT event_type, user_id::VARCHAR FROM events WHERE event_type <> 'view' AND value > 60)
     SELECT * FROM b EXCEPT SELECT * FROM a""")
 def fanout_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").select(F.col("event_type").alias("index"), F.col("user_id").cast("string").alias("id"), F.lit(None).cast("string").alias("routing"), "event_id")
-    before, after = df.where("event_id % 2 = 0").distinct(), df.where("event_id % 2 = 1 AND index <> 'view'")
+    """Users' documents by event type, less those that the events of a large value still give."""
+    df = table(spark, sf_dir, "events").select(F.col("event_type").alias("index"), F.col("user_id").cast("string").alias("id"), F.lit(None).cast("string").alias("routing"), "value")
+    before, after = df.drop("value").distinct(), df.where("index <> 'view' AND value > 60")
     return ch.fan_out_diff(before, after).select("index", "id").distinct()
 
 
