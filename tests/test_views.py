@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom import queries
+from docloom.functions.transforms import Transform
 from docloom.operators import children as rel
 from docloom.operators import merge
 from docloom.operators.store import Store, TooManyRejects
@@ -239,6 +240,42 @@ def test_transactions_over_batches(spark, tmp_path):
     assert apply.wait_for(store, "s", 5, 1.0) and not apply.wait_for(store, "s", 6, 0.1)
 
 
+def test_idle_streams_move_on(spark, tmp_path):
+    """A row of kind position moves the stream on, but never past a transaction that is still open."""
+    view = View("shops", "shop", key=["id"])
+    tables = {"shops": spark.createDataFrame([], ROW)}
+    store = Store(spark, f"file://{tmp_path}/s", document_type([view], tables), buckets=2)
+    plan = ChangePlan([view], {"shops": ROW}, lambda: tables, store.doc, store.lookup)
+    beat = lambda at: spark.createDataFrame([("position", at, at)], "kind string, version long, seq long")
+    seen = []
+    for part in (beat(5), log_of(spark, [("shops", "insert", None, (1, 0, "a"), 6, 7, 6)]), beat(8), log_of(spark, [("x", None, None, None, 9, 7, 9)]), beat(10)):
+        log_of(spark, []).unionByName(part, allowMissingColumns=True).repartition(1).write.mode("append").parquet(f"{tmp_path}/log")
+        apply.run(apply.read_changes(spark, f"{tmp_path}/log", log_of(spark, []).schema, 1), store, lambda: plan, "s", f"{tmp_path}/check").awaitTermination()
+        seen.append(store.position("s"))
+    assert seen == [5, 5, 5, 9, 10] and ids(store.documents("shop")) == ["1"]
+
+
+def test_left_out_columns_are_completed(spark, tmp_path):
+    """Columns that the log left out: from this batch, else from the store; a transformed one keeps its stored form, a filter reads the whole row."""
+    view = View("shops", "shop", key=["id"], where="up > 0", transform={"name": Transform("redact")}, rename={"price": "cost"})
+    tables = {"shops": spark.createDataFrame([], ROW)}
+    store = Store(spark, f"file://{tmp_path}/s", document_type([view], tables), buckets=2)
+    plan = ChangePlan([view], {"shops": ROW}, lambda: tables, store.doc, store.lookup)
+    image = lambda *v: json.dumps(dict(zip(("id", "up", "name", "price"), v, strict=True)))
+    key = lambda i: json.dumps({"id": i})
+    kind = "kind string, schema string, table string, op string, key string, old_key string, before string, after string, unchanged array<string>, version long, txn_id long, seq long"
+    row = lambda op, i, after, left_out, at, old=None: ("row", "public", "shops", op, key(i), old, None, after, left_out, at, None, at)
+    store.apply(plan(spark.createDataFrame([row("insert", 1, image(1, 5, "a", 1.5), [], 1), row("insert", 2, image(2, 6, "b", 2.5), [], 2)], kind)))
+    store.apply(plan(spark.createDataFrame([
+        row("update", 1, image(1, None, None, 9.0), ["up", "name"], 3),  # from the store
+        row("update", 3, image(3, 7, None, None), ["name", "price"], 4, key(2)),  # moved, from the store
+        row("insert", 4, image(4, 8, "c", 4.5), [], 5), row("update", 4, image(4, None, None, 5.5), ["up", "name"], 6),  # from this batch
+        row("insert", 5, image(5, 9, "d", 1.0), [], 7), row("update", 5, image(5, -1, None, None), ["name", "price"], 8),  # leaves the filter
+    ], kind)))
+    found = {r["id"]: (r["doc"]["up"], r["doc"]["name"], float(r["doc"]["cost"])) for r in store.documents("shop").collect()}
+    assert found == {"1": (5, "***", 9.0), "3": (7, "***", 2.5), "4": (8, "***", 5.5)}
+
+
 def test_append_only_and_partial_rows(spark, tmp_path):
     view = View("shops", "shop", append_only=True)
     tables = {"shops": spark.createDataFrame([], ROW)}
