@@ -31,10 +31,12 @@ def arguments() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     add = lambda name, help: commands.add_parser(name, help=help)
     add("example", "print a configuration to begin with")
-    for name, help in (("validate", "check configurations"), ("run", "load what is new and follow the change logs"), ("load", "load all tables"), ("status", "how far a stream has come"), ("reconcile", "find documents without a row"), ("reload", "load rows of a table again"), ("reindex", "build a table's index anew under its alias"), ("alias", "name an index"), ("rejects", "list or retry documents put aside")):
+    for name, help in (("validate", "check configurations"), ("run", "load what is new and follow the change logs"), ("poll", "take in what is new in polled tables"), ("load", "load all tables"), ("status", "how far a stream has come"), ("metrics", "what a stream has taken in"), ("reconcile", "find documents without a row"), ("reload", "load rows of a table again"), ("reindex", "build a table's index anew under its alias"), ("alias", "name an index"), ("rejects", "list or retry documents put aside")):
         add(name, help).add_argument("config", nargs="+" if name in ("validate", "run") else None)
     of = commands.choices
     of["run"].add_argument("--every", help="keep running, with a batch this often, such as '1 second'")
+    of["poll"].add_argument("--every", type=float, help="go on, looking again after so many seconds")
+    of["metrics"].add_argument("--stream", help="if not the configuration's own, such as poll-public.customer")
     of["status"].add_argument("--position", type=int, default=0)
     of["reconcile"].add_argument("--delete", action="store_true")
     for name in ("reload", "reindex"):
@@ -75,6 +77,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             say(config=name, fault=fault)
         return int(any(ended.values()))
     project = projects[0]
+    if args.command == "poll":
+        say(pages=project.poll(spark, args.every))
+        return 0
     store, tables = project.store(spark), project.tables(spark)
     views = [v for v in project.views if v.table == getattr(args, "table", v.table)]
     if not views:
@@ -87,6 +92,8 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         found = admin.status(store, project.name, args.position)
         say(**found)
         return int(not found["caught_up"])
+    elif args.command == "metrics":
+        say(**store.counts(args.stream or project.name))
     elif args.command == "reconcile":
         for v in views:
             scanned, orphaned = admin.reconcile(v, tables, store, args.delete)

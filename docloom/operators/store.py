@@ -180,6 +180,9 @@ class Store:
         return (rows if after is None else rows.where(F.col("id") > after)).orderBy("id").limit(size)
 
     # operations -------------------------------------------------------------------------------------
+    #: Counted of each batch beside rejects, cascades and truncates, in the one pass that looks for those.
+    COUNTS = {"operations": "count(*)", "upserts": "count_if(action = 'upsert')", "deletes": "count_if(action = 'delete')", "unversioned": "count_if(version IS NULL)"}
+
     def apply(self, ops: DataFrame, *, stream: str | None = None, epoch: int | None = None, position: int | None = None, waiting: DataFrame | None = None, max_rejects: int | None = None, notes: dict | None = None) -> bool:
         """Merge a batch: operations ``upsert`` and ``delete``, ``cascade`` (deletes what names ``id`` as its parent in the
         field ``scope``) and ``truncate`` (of the index pattern ``index`` and the relation ``scope``).
@@ -196,7 +199,7 @@ class Store:
                 ops = ops.withColumn(name, F.lit(None).cast("string"))
         room = self.room()
         staged = self.stage(ops.select(*self.schema.names, "reject", "scope", self._bucket(manifest).alias("bucket")), room)
-        seen = staged.agg(F.count("reject").alias("rejects"), F.count_if(F.col("action") == "cascade").alias("cascades"), F.count_if(F.col("action") == "truncate").alias("truncates")).first()
+        seen = staged.agg(F.count("reject").alias("rejects"), F.count_if(F.col("action") == "cascade").alias("cascades"), F.count_if(F.col("action") == "truncate").alias("truncates"), *(F.expr(x).alias(n) for n, x in self.COUNTS.items())).first()
         if seen["rejects"]:
             self._put_aside(staged.where(F.col("reject").isNotNull()), max_rejects)
         rows = staged.where(F.col("reject").isNull())
@@ -209,6 +212,8 @@ class Store:
             writes = self.stage(self._cascaded(manifest, rows, writes), room)
         replaced = self._merge(manifest, writes)
         if stream:
+            counts = state.get("counts", {})
+            state["counts"] = {n: counts.get(n, 0) + k for n, k in (seen.asDict() | {"batches": 1}).items()}
             if epoch is not None:
                 state["epoch"] = epoch
             if position is not None:
@@ -307,6 +312,10 @@ class Store:
     def position(self, stream: str) -> int | None:
         return self.manifest()["streams"].get(stream, {}).get("position")
 
+    def counts(self, stream: str) -> dict[str, int]:
+        """Batches, operations, upserts, deletes, unversioned operations, rejects, cascades and truncates that a stream brought; a repeated batch counts once."""
+        return self.manifest()["streams"].get(stream, {}).get("counts", {})
+
     def applied(self, stream: str, epoch: int) -> bool:
         return epoch <= self.manifest()["streams"].get(stream, {}).get("epoch", -1)
 

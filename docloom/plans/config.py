@@ -88,6 +88,7 @@ class View:
     join: JoinRule | None = None
     append_only: bool = False
     soft_delete: str | None = None
+    poll_column: str | None = None  # read by polls past a watermark on this column, not from a change log
 
     def doc_id(self) -> Column | None:
         """The id of a document; None for a content id."""
@@ -161,6 +162,8 @@ def check(views: list[View]) -> None:
                     say("the id of fan_out names no column, so all elements would be one document")
         except TemplateError as e:
             say(str(e))
+        if v.poll_column and v.append_only:
+            say("poll_column and append_only together: a row that is polled again would be another document")
         if v.columns is not None and v.exclude:
             say("columns and exclude together")
         if v.columns is not None and not v.columns:

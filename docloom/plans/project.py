@@ -2,7 +2,8 @@
 
     [source]
     tables = "file:///data"            # a folder of <table>.parquet
-    changes = "file:///log"            # a folder of change-log files; optional
+    changes = "file:///log"            # a folder of change-log files; not needed where every view has a poll_column
+    page = 100000                      # rows a poll takes in at most, ties aside; optional
     [store]
     root = "file:///views"
     buckets = 64
@@ -25,7 +26,7 @@ from docloom.plans import admin
 from docloom.plans.changes import ChangePlan, document_type
 from docloom.plans.config import ConfigError, View, from_toml
 from docloom.sources.changelog import LOG
-from docloom.streaming import apply
+from docloom.streaming import apply, polls
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,15 @@ class Project:
         return ChangePlan(self.views, {t: df.schema for t, df in self.tables(spark).items()}, lambda: self.tables(spark), store.doc, store.lookup)
 
     def start(self, spark: SparkSession, trigger: dict | None = None) -> StreamingQuery:
-        """Load what was never loaded, then follow the change log."""
+        """Load what was never loaded, then follow the change log; polled views are left to :meth:`poll`."""
+        if "changes" not in self.source:
+            raise ConfigError("[source] changes is needed to follow a log")
         store = self.store(spark)
-        admin.admit(self.views, self.tables(spark), store, store.position(self.name) or 0)
+        admin.admit([v for v in self.views if not v.poll_column], self.tables(spark), store, store.position(self.name) or 0)
         changes = apply.read_changes(spark, self.source["changes"], LOG, self.source.get("files_per_batch"))
         return apply.run(changes, store, lambda: self.plan(spark, store), self.name, f"{self.target['root'].rstrip('/')}/check-{self.name}", self.target.get("max_rejects"), trigger)
+
+    def poll(self, spark: SparkSession, every: float | None = None) -> int:
+        """Take in what is new in the polled views' tables; the number of pages."""
+        store = self.store(spark)
+        return polls.follow(self.views, lambda: self.tables(spark), store, lambda: self.plan(spark, store), self.source.get("page"), every, self.target.get("max_rejects"))

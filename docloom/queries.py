@@ -26,7 +26,7 @@ from docloom.plans.changes import ChangePlan, document_type
 from docloom.plans.config import ChildRule, CountRule, JoinRule, View, as_json, documents, from_toml, related_ids, with_index
 from docloom.sources import readers
 from docloom.sources.changelog import log_rows
-from docloom.streaming import apply
+from docloom.streaming import apply, polls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -500,6 +500,23 @@ def poll_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.next_watermark(readers.poll(table(spark, sf_dir, "events"), "event_id", 100, 250))
 
 
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderstatus = 'P' THEN 2 * o_totalprice ELSE o_totalprice END AS price FROM orders
+    WHERE o_orderstatus <> 'F' AND CASE WHEN o_orderstatus = 'P' THEN 2 * o_totalprice ELSE o_totalprice END < 300000""")
+def poll_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders polled into a store; then, in pages, those that were changed meanwhile: finished ones are flagged, pending ones cost twice as much, which takes some out of the view."""
+    orders = table(spark, sf_dir, "orders").withColumn("gone", F.lit(False))
+    status, later = F.col("o_orderstatus"), F.col("o_orderdate") + F.expr("INTERVAL 20 YEARS")
+    moved = status.isin("F", "P")
+    changed = orders.withColumns({"gone": status == "F", "o_totalprice": F.when(status == "P", 2 * F.col("o_totalprice")).otherwise(F.col("o_totalprice")), "o_orderdate": F.when(moved, later).otherwise(F.col("o_orderdate"))})
+    view = View("orders", "orders", key=["o_orderkey"], where="o_totalprice < 300000", columns=["o_totalprice"], rename={"o_totalprice": "price"}, soft_delete="gone", poll_column="o_orderdate")
+    store = Store(spark, work_dir(spark, "polled"), document_type([view], {"orders": orders}), buckets=4)
+    for now, page in ((orders, None), (changed, orders.count() // 3 + 1)):
+        tables = {"orders": now}
+        plan = ChangePlan([view], {"orders": now.schema}, lambda tables=tables: tables, store.doc, store.lookup)
+        polls.follow([view], lambda tables=tables: tables, store, lambda plan=plan: plan, page)
+    return store.documents("orders").select("id", "doc.price")
+
+
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (10, 700) ORDER BY o_custkey, o_orderkey LIMIT 40")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.key_page(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], [10, 700], 40).select("o_custkey", "o_orderkey")

@@ -63,9 +63,13 @@ def poll(table: DataFrame, column: str, watermark, page: int, soft_delete: str |
     The row filter is applied to changes later, not here: else a row that leaves it would never be deleted.
     """
     rows = table if watermark is None else table.where(F.col(column) > F.lit(watermark))
-    rows = rows.orderBy(column, *[c for c in table.columns if c != column]).limit(page)
+    return polled(rows.orderBy(column, *[c for c in table.columns if c != column]).limit(page), column, soft_delete)
+
+
+def polled(rows: DataFrame, column: str, soft_delete: str | None = None) -> DataFrame:
+    """Polled rows as changes: op, after, before, position."""
     gone = F.coalesce(F.expr(soft_delete), F.lit(False)) if soft_delete else F.lit(False)
-    row = F.struct(*(F.col(c) for c in table.columns))
+    row = F.struct(*(F.col(c) for c in rows.columns))
     return rows.select(F.when(gone, "delete").otherwise("insert").alias("op"), F.when(~gone, row).alias("after"), F.when(gone, row).alias("before"), F.col(column).alias("position"))
 
 

@@ -103,8 +103,3 @@ def wait_for(store: Store, stream: str, position: int, seconds: float = 30.0, gr
             return False
         time.sleep(grace)
     return True
-
-
-def observed(ops: DataFrame) -> DataFrame:
-    """Counts by batch for a listener: operations, upserts, deletes, unversioned ones, the largest version."""
-    return ops.observe("ops", F.count("*").alias("ops"), F.count_if(F.col("action") == "upsert").alias("upserts"), F.count_if(F.col("action") == "delete").alias("deletes"), F.count_if(F.col("version").isNull()).alias("unversioned"), F.max("version").alias("position"))

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from datetime import datetime
 from decimal import Decimal
 
 import duckdb
@@ -22,7 +23,7 @@ from docloom.plans.changes import ChangePlan, document_type
 from docloom.plans.config import ChildRule, ConfigError, CountRule, FanOutRule, JoinRule, View, as_json, check, documents, from_toml
 from docloom.sources import readers
 from docloom.sources.changelog import log_rows, roles
-from docloom.streaming import apply
+from docloom.streaming import apply, polls
 
 DATA = "/root/testdata/sf0.001"
 OPS = "index string, id string, routing string, action string, doc struct<x:int>, version long, seq long"
@@ -255,6 +256,58 @@ def test_idle_streams_move_on(spark, tmp_path):
     assert seen == [5, 5, 5, 9, 10] and ids(store.documents("shop")) == ["1"]
 
 
+POLLED = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("gone", T.BooleanType()), T.StructField("at", T.TimestampType())])
+
+
+@pytest.mark.parametrize("page", [None, 1, 2, 100])
+def test_polls_take_in_what_is_new(spark, tmp_path, page):
+    """Ties are never cut, late ties are seen, null values never; flagged rows and rows that leave the filter go; a poll repeated whole changes nothing."""
+    view = View("t", "docs", key=["id"], where="name <> 'out'", soft_delete="gone", poll_column="at", exclude=["at", "gone"])
+    now = {}
+    store = Store(spark, f"file://{tmp_path}/s", document_type([view], {"t": spark.createDataFrame([], POLLED)}), buckets=2)
+    plan = ChangePlan([view], {"t": POLLED}, lambda: {"t": table()}, store.doc, store.lookup)
+
+    def table():
+        rows = [(i, n, g, None if at is None else datetime(2024, 10, 27, 0, 59, 59, at)) for i, (n, g, at) in now.items()]
+        return spark.createDataFrame(rows, POLLED)
+
+    def polled():
+        pages = polls.follow([view], lambda: {"t": table()}, store, lambda: plan, page)
+        held = {r["id"]: r["doc"]["name"] for r in store.documents("docs").collect()}
+        want = {str(i): n for i, (n, g, at) in now.items() if not g and at is not None and n != "out"}
+        assert held == want
+        return pages
+
+    assert polled() == 0 and polls.watermark(view, store) is None
+    now |= {1: ("a", False, 1), 2: ("b", False, 2), 3: ("c", False, 2), 4: ("d", True, 3), 5: ("out", False, 3), 6: ("null", False, None)}
+    assert polled() == {None: 1, 1: 3, 2: 2, 100: 1}[page]
+    before = polls.watermark(view, store)
+    assert before["ties"] == 2 and polled() == 0
+    now |= {7: ("late", False, 3)}  # another row of the watermark's own value
+    assert polled() == 1 and polls.watermark(view, store) == before | {"ties": 3}
+    now |= {1: ("a2", False, 4), 2: ("b", True, 5), 3: ("out", None, 6), 5: ("in", False, 6), 4: ("back", False, 7)}
+    assert polled() == {None: 1, 1: 4, 2: 3, 100: 1}[page] and polled() == 0
+    count = store.counts("poll-public.t")
+    store.set_note("poll-public.t", before)  # as if those polls had not been
+    polled()
+    assert store.counts("poll-public.t")["batches"] > count["batches"] and count["unversioned"] == count["operations"] > count["deletes"] > 0
+
+
+@pytest.mark.parametrize("kind, values", [("timestamp", "timestamp'2024-10-27 02:30:00.000001'"), ("timestamp_ntz", "timestamp_ntz'2024-10-27 02:30:00.5'"), ("date", "date'2024-01-02'"), ("long", "9007199254740993L"), ("decimal(20,3)", "12345678901234567.125BD"), ("string", "'b'"), ("double", "0.1D")])
+def test_watermarks_keep_their_value(spark, kind, values):
+    row = spark.sql(f"SELECT CAST({values} AS {kind}) AS v")
+    text = row.select(polls.as_text(F.col("v"), row.schema["v"].dataType).alias("t")).first()["t"]
+    assert row.where(F.col("v") == polls.from_text(text, row.schema["v"].dataType)).count() == 1
+
+
+def test_polls_prune_their_scan(spark, tmp_path):
+    """Only rows past the watermark are asked of the files."""
+    rows = spark.read.parquet(f"{DATA}/events.parquet")
+    since = polls.from_text("500", T.LongType())
+    plan = rows.where(F.col("event_id") > since).select("event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(event_id,500)" in plan and "ReadSchema: struct<event_id:bigint>" in plan
+
+
 def test_left_out_columns_are_completed(spark, tmp_path):
     """Columns that the log left out: from this batch, else from the store; a transformed one keeps its stored form, a filter reads the whole row."""
     view = View("shops", "shop", key=["id"], where="up > 0", transform={"name": Transform("redact")}, rename={"price": "cost"})
@@ -402,6 +455,7 @@ def test_configuration(spark, target, tmp_path):
         ([View("t", "t", key=["a", "b"], children=[ChildRule("n", "c", "k")])], "one column"),
         ([View("t", "t", key=["a", "b"], join=JoinRule("p"))], "one column"),
         ([View("t", "t", key=["a"], append_only=True)], "without a key"),
+        ([View("t", "t", append_only=True, poll_column="a")], "polled again"),
         ([View("t", "t-{x}", key=["a"]), View("u", "t-new", key=["a"])], "other's index"),
         ([View("t", "t", key=["a"], id="{a}", join=JoinRule("c", parent_key="p"))], "no parents"),
         ([View("t", "t", key=["a"], id="{b}", join=JoinRule("p")), View("u", "t", key=["a"], id="{a}", join=JoinRule("c", parent_key="t"))], "more than their key"),
@@ -496,6 +550,15 @@ key = ["n_nationkey"]
     assert main(["reload", str(config), "--table", "none"], spark) == 1 and "no view" in said()[0]["fault"]
     assert main(["reindex", str(config), "--table", "nation", "--alias", "nations-now"], spark) == 0 and said()[0]["verdict"] == "exact"
     assert main(["alias", str(config), "--alias", "old", "--index", "nations"], spark) == 0
+    assert main(["metrics", str(config)], spark) == 0 and said()[0]["operations"] >= 3
+    config.write_text(config.read_text() + 'poll_column = "n_nationkey"\n')
+    config.write_text(config.read_text().replace(f"{tmp_path}/views", f"{tmp_path}/polled").replace("[store]", "page = 7\n[store]"))
+    assert main(["poll", str(config)], spark) == 0 and said() == [{"pages": 3}]
+    assert main(["poll", str(config)], spark) == 0 and said() == [{"pages": 0}]
+    assert main(["metrics", str(config), "--stream", "poll-public.nation"], spark) == 0
+    counted = said()[0]
+    assert (counted["batches"], counted["upserts"]) == (3, 20)
+    config.write_text(config.read_text().replace("polled", "views").replace("page = 7\n", "").replace('poll_column = "n_nationkey"\n', ""))
     assert main(["load", str(config)], spark) == 0 and main(["rejects", str(config), "--retry"], spark) == 0 and said()[-1] == {"total": 0}
 
 
