@@ -10,7 +10,8 @@ norm is the same for all languages and cancels, in the choice and in ``score``:
 all positive cosines, 0 where none is positive.
 
 Edge cases: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Ties
-go to the language first in order. A null id is predicted but not learned from. Very long texts count whole. Repeated rows are
+go to the language first in order. A null id is predicted but not learned from. Very long texts count whole, two
+million characters at a time. Repeated rows are
 learned from and predicted each. An empty table gives no rows.
 """
 
@@ -28,6 +29,7 @@ from .common import batch, chosen, learned, slices, texts_of
 SYMBOLS = 64
 DIMENSIONS = 2048
 CODES = SYMBOLS**3
+CHARS = 1 << 21  # more than a slice has unless it is one long text, so sums don't hang on where slices end
 
 _TABLE: list[np.ndarray] = []
 
@@ -44,14 +46,16 @@ def letter_table() -> np.ndarray:
     return _TABLE[0]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams around a letter (word edges count as symbol 0), and the text each is from."""
-    points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = letter_table()[points].astype(np.int32)
-    middle = np.flatnonzero(symbols[1:-1]) + 1
-    codes = (symbols[middle - 1] * SYMBOLS + symbols[middle]) * SYMBOLS + symbols[middle + 1]
+def trigrams(texts: list[str], most: int = CHARS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of all trigrams around a letter (word edges count as symbol 0) and the text each is from, for ``most`` characters at a time."""
+    joined = "\n".join(["", *texts, ""])
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)]) + 1
-    return codes, np.searchsorted(starts, middle, side="right") - 1
+    for at in range(0, max(1, len(joined) - 2), most):
+        points = np.frombuffer(joined[at : at + most + 2].encode("utf-32-le", "surrogatepass"), "<u4")
+        symbols = letter_table()[points].astype(np.int32)
+        middle = np.flatnonzero(symbols[1:-1]) + 1
+        codes = (symbols[middle - 1] * SYMBOLS + symbols[middle]) * SYMBOLS + symbols[middle + 1]
+        yield codes, np.searchsorted(starts, middle + at, side="right") - 1
 
 
 def letter_vectors(dimensions: int, seed: int) -> np.ndarray:
@@ -76,12 +80,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         langs, texts = b.column(0).to_pylist(), texts_of(b.column(1))
         for i, j in slices(texts, 1 << 20):
-            codes, owner = trigrams(texts.slice(i, j - i).to_pylist())
             names = sorted(set(langs[i:j]))
-            kind = np.array([names.index(x) for x in langs[i:j]])[owner]
-            for k, name in enumerate(names):
-                n = np.bincount(codes[kind == k], minlength=CODES)
-                totals[name] = totals[name] + n if name in totals else n
+            kinds = np.array([names.index(x) for x in langs[i:j]])
+            for codes, owner in trigrams(texts.slice(i, j - i).to_pylist()):
+                kind = kinds[owner]
+                for k, name in enumerate(names):
+                    n = np.bincount(codes[kind == k], minlength=CODES)
+                    totals[name] = totals[name] + n if name in totals else n
             if len(totals) > 32:
                 yield from rows()
     yield from rows()
@@ -122,16 +127,16 @@ def _predict(prototypes: dict[str, np.ndarray], seed: int):
             texts = texts_of(b.column(2))
             for i, j in slices(texts, 1 << 20):
                 n = j - i
-                codes, owner = trigrams(texts.slice(i, n).to_pylist())
-                lettered = np.bincount(owner, minlength=n) > 0
-                cosines = np.zeros((len(names), n))
-                if names:
-                    fresh = np.unique(codes[np.isnan(products[0, codes])])
-                    for k in range(0, len(fresh), 512):
-                        part = fresh[k : k + 512]
-                        products[:, part] = matrix @ bind(part, letters).T.astype(np.float64)
-                    for k in range(len(names)):
-                        cosines[k] = np.bincount(owner, weights=products[k][codes], minlength=n)
+                lettered, cosines = np.zeros(n, bool), np.zeros((len(names), n))
+                for codes, owner in trigrams(texts.slice(i, n).to_pylist()):
+                    lettered |= np.bincount(owner, minlength=n) > 0
+                    if names:
+                        fresh = np.unique(codes[np.isnan(products[0, codes])])
+                        for k in range(0, len(fresh), 512):
+                            part = fresh[k : k + 512]
+                            products[:, part] = matrix @ bind(part, letters).T.astype(np.float64)
+                        for k in range(len(names)):
+                            cosines[k] += np.bincount(owner, weights=products[k][codes], minlength=n)
                 best = cosines.argmax(axis=0) if names else np.zeros(n, int)
                 positive = np.maximum(cosines, 0).sum(axis=0)
                 found = lettered & (positive > 0)

@@ -620,9 +620,17 @@ def test_predictions_are_cosines_of_bundles(spark):
     assert sorted((x["doc_id"], x["lang_pred"], round(x["score"], 9)) for x in got) == sorted(want)
 
 
+@given(st.lists(st.text(alphabet="abÉß \n1漢", max_size=30), max_size=5), st.integers(1, 12))
+@settings(max_examples=200, deadline=None)
+def test_trigrams_of_parts_are_those_of_the_whole(texts, most):
+    [(codes, owner)] = langid.trigrams(texts)
+    parts = list(langid.trigrams(texts, most))
+    assert np.array_equal(np.concatenate([c for c, _ in parts]), codes) and np.array_equal(np.concatenate([o for _, o in parts]), owner)
+
+
 def test_bundles_are_linear():
     letters = langid.letter_vectors(64, 1)
-    codes, owner = langid.trigrams(["Ab c", "ß"])
+    [(codes, owner)] = langid.trigrams(["Ab c", "ß"])
     assert owner.tolist() == [0, 0, 0, 1]
     a, b = (langid.letter_table()[ord(c)] for c in "ab")
     assert codes[0] == (0 * 64 + a) * 64 + b
