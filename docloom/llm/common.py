@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,28 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, forget: Callable[[], None]) -> None:
+    """Note that this worker process keeps large tables from task to task, and what forgets them."""
+    _KEPT[name] = forget
+
+
+def only(*names: str) -> None:
+    """Forget all tables that this worker process keeps but those named, and give their memory back.
+
+    Spark hands a worker the tasks of all stages, so what one operator has kept would lie beside the tables of the next.
+    """
+    others = [name for name in _KEPT if name not in names]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

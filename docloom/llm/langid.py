@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chosen, learned, slices, texts_of
+from .common import batch, chosen, learned, only, slices, texts_of
 
 SYMBOLS = 64
 DIMENSIONS = 2048
@@ -69,6 +69,7 @@ def bind(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only()
     totals: dict[str, np.ndarray] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
@@ -120,6 +121,7 @@ def _predict(prototypes: dict[str, np.ndarray], seed: int):
     names = list(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         matrix = np.array([prototypes[n] for n in names])
         letters = letter_vectors(matrix.shape[-1], seed) if names else None
         products = np.full((len(names), CODES), np.nan, np.float64)  # filled as trigrams are met

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, chosen, drop, save, scratch, texts_of
+from .common import batch, chosen, drop, only, save, scratch, texts_of
 from .components import components
 from .wordhash import U, mix, shingle_sets, word_batches
 
@@ -79,6 +79,7 @@ def _classes(k: int):
     """Each row's class and size; then the sketch of this task's n-grams, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         sketch = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for i, words, at in word_batches(texts_of(b.column(1))):
@@ -127,6 +128,7 @@ def _postings(k: int, sketch, num: int, den: int):
     """The prefix n-grams of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         counts = np.frombuffer(sketch.value, "<u4")
         for b in batches:
             for _, words, at in word_batches(texts_of(b.column(0))):
@@ -161,6 +163,7 @@ def _filtered(found):
     """Rows (doc_id, text, at) whose places are all set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         bits = np.frombuffer(found.value, np.uint8)
         for b in batches:
             at = b.column(2).flatten().to_numpy().reshape(-1, 2)
@@ -172,6 +175,7 @@ def _filtered(found):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for b in batches:
             for _, words, at in word_batches(texts_of(b.column(0))):
                 sets = shingle_sets(words, at, k)
@@ -308,6 +312,7 @@ def _connect(num: int, den: int, sketch, all_pairs: bool):
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        only("powers")
         ids, own = rows["class"].to_pylist(), rows["own"].to_numpy()
         parts, links = Parts(rows["label"].to_pylist()), []
         if len(parts.members) > 1 and own.min() == key[1].as_py() and own.max() == key[2].as_py():
@@ -340,6 +345,7 @@ def _could_link(num: int, den: int, sketch):
     never = np.iinfo(np.int32).max
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        only("powers")
         ids, n, own = rows["class"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["own"].to_numpy()
         left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
         kept = rows.select(["mid", "class", "rank", "n"])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, chosen, save, scratch, slices, texts_of
+from .common import batch, chosen, only, save, scratch, slices, texts_of
 from .wordids import encoder
 
 
@@ -109,6 +109,7 @@ PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         coder, step = encoder(tokenizer), 4 * capacity
         end = np.array([end_id], coder.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), Counter()

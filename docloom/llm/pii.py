@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, chosen, slices, texts_of
+from .common import batch, chosen, only, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -285,6 +285,7 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             for i, j in slices(texts_of(b.column(at)), 1 << 22):
                 part = b.slice(i, j - i)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import buffers, slices
+from .common import buffers, keep, slices
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -49,8 +49,12 @@ class Powers:
             return self.made(n)
         if self.kept is None:
             self.kept = self.made(2 * CHUNK)
+            keep("powers", self.forget)
         return self.kept
 
+    def forget(self) -> None:
+        self.kept = None
+
 
 POWERS = Powers()
 

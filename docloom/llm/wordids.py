@@ -19,6 +19,8 @@ from array import array
 
 import numpy as np
 
+from .common import keep
+
 KEPT_WORDS = 350_000
 # The normaliser, the pre-tokeniser and the model's switches of a file that is read word by word.
 STEPS = {
@@ -123,7 +125,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process."""
+    """One encoder a worker process, kept until ``only`` forgets it."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+        keep("words", _ENCODERS.clear)
     return _ENCODERS[path]

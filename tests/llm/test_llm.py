@@ -505,6 +505,20 @@ def test_words_are_the_librarys(text):
     assert np.frombuffer(coder.encode([text])[0], coder.dtype).tolist() == ids
 
 
+def test_operators_forget_each_others_tables():
+    """A worker process serves all stages of a pipeline: what one has kept must not lie beside the tables of the next."""
+    from docloom.llm import wordids
+
+    texts = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["one two three four five six"], "row": [b"r"]})
+    ids = texts.set_column(0, "doc_id", pa.array([1], pa.int64()))
+    held = lambda: (bool(wordids._ENCODERS), wordhash.POWERS.kept is not None)
+    for stage, own in ((lambda: ngramjoin._classes(5)(iter([ids])), True), (lambda: langid._count(iter([texts])), False)):
+        wordids.encoder(WORD_BPE).encode(["one two"])
+        wordhash.POWERS.upto(1)
+        assert held() == (True, True)
+        assert list(stage()) and held() == (False, own)
+
+
 def test_other_tokenizers_get_whole_texts():
     from docloom.llm.wordids import by_word, encoder
 
