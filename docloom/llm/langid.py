@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chosen, learned, only, slices, texts_of
+from .common import batch, chosen, learned, only, slices, texts_of, trimmed
 
 SYMBOLS = 64
 DIMENSIONS = 2048
@@ -107,7 +107,7 @@ def _bundle(dimensions: int, seed: int):
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from all of ``docs`` (lang, text); only one vector a language reaches the driver."""
     known = chosen(docs.where(F.col("lang").isNotNull()), ("lang", "string"), ("text", "string"))
-    counts = known.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(trimmed(_count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").applyInArrow(_bundle(dimensions, seed), "lang string, vector array<double>").collect()
     made = {r["lang"]: np.array(r["vector"]) for r in sorted(rows, key=lambda r: r["lang"])}
     return {k: v / np.linalg.norm(v) for k, v in made.items() if v.any()}
@@ -181,4 +181,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         for told in predict(asked()):  # one slice in, one slice out
             yield waiting.pop(0).filter(pa.array([x != "und" for x in told.column("lang_pred").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, chosen, drop, only, save, scratch, texts_of
+from .common import batch, chosen, drop, only, save, scratch, texts_of, trimmed
 from .components import components
 from .wordhash import U, mix, shingle_sets, word_batches
 
@@ -437,7 +437,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         paths.append(scratch(spark, name))
         return save(df, paths[-1])
 
-    first = kept(docs.mapInArrow(_classes(k), ROWS), "join-rows")
+    first = kept(docs.mapInArrow(trimmed(_classes(k)), ROWS), "join-rows")
     rows = first.where(F.col("class").isNotNull()).select("doc_id", "row", "class", "n")
     pieces = first.where(F.col("piece").isNotNull()).select("piece", "counts")
     whole = np.zeros((COUNTERS // PIECE, PIECE), np.int64)
@@ -445,7 +445,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         whole[r["piece"]] += np.frombuffer(r["counts"], "<u4")
     sketch = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype("<u4").tobytes())  # COUNTERS numbers, whatever the input
 
-    postings = kept(docs.select("text").mapInArrow(_postings(k, sketch, num, den), "gram long, high long, low long, n int"), "postings")
+    postings = kept(docs.select("text").mapInArrow(trimmed(_postings(k, sketch, num, den)), "gram long, high long, low long, n int"), "postings")
     # lists of more than one class; of two classes within a list half the key tells them apart
     several = postings.groupBy("gram").agg(F.min("high").alias("least"), F.max("high").alias("most")).where("least < most").select("gram")
     lists = postings.join(several.hint("merge"), "gram", "left_semi").distinct()  # it grows with the input: never broadcast
@@ -459,12 +459,12 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     # only texts that a small filter lets through are shuffled by id; whole sets are made of those asked for
     wanted = kept(groups.select("class").distinct().join(members, "class").select(F.nullif("first.doc_id", F.lit(NO_ID)).alias("doc_id")).distinct(), "wanted")
     found = spark.sparkContext.broadcast(id_filter(wanted))
-    texts = docs.select("doc_id", "text", filter_places("doc_id").alias("at")).mapInArrow(_filtered(found), "doc_id long, text string")
+    texts = docs.select("doc_id", "text", filter_places("doc_id").alias("at")).mapInArrow(trimmed(_filtered(found)), "doc_id long, text string")
     texts = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
     blocks = groups.groupBy("mid").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1")
     spread = kept(groups.join(blocks, "mid").select("class").distinct().withColumn("large", F.lit(True)), "spread")
     large = not spread.isEmpty()
-    made = texts.mapInArrow(_sets(k), "class binary, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
+    made = texts.mapInArrow(trimmed(_sets(k)), "class binary, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
     sets = kept(made.join(spread, "class", "left"), "sets")  # of large groups' classes marked, as only theirs take turns
     labels = groups.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
     for turn in range(BLOCK_TURNS + 1 if large else 1):

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, chosen, only, slices, texts_of
+from .common import batch, chosen, only, slices, texts_of, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -292,4 +292,4 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
                 new = pa.array([t if t is None else redact(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
                 yield part.set_column(at, part.schema.field(at), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -519,6 +519,19 @@ def test_operators_forget_each_others_tables():
         assert list(stage()) and held() == (False, own)
 
 
+def test_trimmed_passes_all_on_and_then_gives_memory_back(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+
+    def run(batches):
+        for b in batches:
+            seen.append(b)
+            yield 2 * b
+
+    assert list(common.trimmed(run)(iter([1, 2]))) == [2, 4] and seen == [1, 2, "released"]
+    assert not list(common.trimmed(run)(iter([]))) and seen[3:] == ["released"]
+
+
 def test_other_tokenizers_get_whole_texts():
     from docloom.llm.wordids import by_word, encoder
 
